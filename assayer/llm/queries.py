@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii
+from . import bpe, decontaminate, langid, pii, simhash, toxicity
 from .common import load
 
 
@@ -29,17 +29,82 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=[held_out.alias("held_out")])
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, load(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.with_spans(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_bpe, op10_pii)}
+    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op6_simhash, op9_toxicity, op10_pii)}
+
+
+OP2_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+ww AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS s FROM ww),
+lens AS (SELECT DISTINCT n FROM win),
+dp AS (SELECT doc_id, n, w, unnest(range(0, len(w) - n + 1)) AS i FROM dw, lens WHERE len(w) >= n),
+ds AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM dp),
+m AS (SELECT doc_id, item_id, i, ds.n FROM ds JOIN win ON ds.s = win.s AND ds.n = win.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def _found(kind: str, pattern: str, valid: str) -> str:
+    """Valid matches of one kind with offsets, from the matches and the pieces between them."""
+    return rf"""
+{kind} AS (
+  SELECT doc_id, list_filter(list_transform(range(1, len(f) + 1), lambda i: {{'m': f[i],
+           's': CAST(coalesce(list_sum(list_transform(range(1, i + 1), lambda k: length(p[k]))), 0) + coalesce(list_sum(list_transform(range(1, i), lambda k: length(f[k]))), 0) AS BIGINT)}}), lambda x: {valid}) AS found
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS f, string_split_regex(coalesce(text, ''), '{pattern}') AS p FROM documents))"""
+
+
+_DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda k: CASE WHEN (len({_DIGITS}) - k) % 2 = 1 THEN CASE WHEN 2 * CAST({_DIGITS}[k] AS INT) > 9 THEN 2 * CAST({_DIGITS}[k] AS INT) - 9 ELSE 2 * CAST({_DIGITS}[k] AS INT) END ELSE CAST({_DIGITS}[k] AS INT) END)) % 10 = 0"
+
+
+def op10_sql() -> str:
+    """Base kinds; on the driver's tables the added kinds find nothing, so that all spans are base spans."""
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x.m, '.'), lambda q: length(ltrim(q, '0')) > 3 OR CAST(right(q, 3) AS INT) > 255)) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 8 AND 15"),
+    }
+    text = lambda k: f"list_transform({k}.found, lambda x: '{k}:' || x.s || ':' || (x.s + length(x.m)))"
+    return "WITH " + ",".join(_found(k, p, v) for k, (p, v) in kinds.items()) + f""",
+spans AS (SELECT doc_id, {', '.join(f'CAST(len({k}.found) AS BIGINT) AS n_{k}' for k in kinds)},
+  array_to_string({' || '.join(text(k) for k in kinds)}, ',') AS spans
+  FROM email JOIN ip USING (doc_id) JOIN card USING (doc_id) JOIN phone USING (doc_id))
+SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(spans) AS base_sha256, spans FROM spans"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": OP2_SQL, "op10_pii": op10_sql()}
