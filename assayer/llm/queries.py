@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pii, simhash, toxicity
-from .common import load
+from . import bpe, chat, decontaminate, langid, pii, simhash, spans, toxicity, warc
+from .common import load, shared_path
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -38,10 +38,26 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    runs = warc.write(load(spark, sf_dir, "pages"), folder)
+    return warc.read(warc.merged(runs), folder)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.rotate(load(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask_spans", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return turns.select("conv_id", "part", "speaker", "n_turns", "n_masked", "text", mask.alias("mask"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
@@ -55,7 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op6_simhash, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op4_warc, op5_chat, op6_simhash, op8_spans, op9_toxicity, op10_pii)}
 
 
 OP2_SQL = r"""
@@ -106,5 +122,28 @@ spans AS (SELECT doc_id, {', '.join(f'CAST(len({k}.found) AS BIGINT) AS n_{k}' f
 SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(spans) AS base_sha256, spans FROM spans"""
 
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS low FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > low THEN low END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+OP5_SQL = r"""
+WITH t AS (SELECT conv_id, turn // 256 AS part, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
+who AS (SELECT DISTINCT conv_id, part, speaker AS me FROM t WHERE speaker <> 'system'),
+l AS (SELECT conv_id, part, me, turn, speaker, body,
+        '<|im_start|>' || CASE WHEN speaker = me THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
+      FROM t JOIN who USING (conv_id, part)),
+s AS (SELECT *, length(head) + length(body) + 11 AS size FROM l),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, part, me ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM s)
+SELECT conv_id, part, me AS speaker, count(*) AS n_turns, count(*) FILTER (speaker = me) AS n_masked,
+  string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY turn, speaker, body) AS text,
+  string_agg(pos || '-' || (pos + length(body) + 10), ',' ORDER BY turn, speaker, body) FILTER (speaker = me) AS mask
+FROM o GROUP BY conv_id, part, me
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op10_pii": op10_sql()}
+    return {"op4_warc": OP4_SQL, "op5_chat": OP5_SQL, "op2_decontaminate": OP2_SQL, "op10_pii": op10_sql()}
