@@ -1,9 +1,9 @@
 """Queries over the driver's tables, each with equivalent SQL where SQL can say it."""
 
-from . import selection
+from . import analysis, selection, texts
 from .base import OPS, QUERIES, SQL
 
-__all__ = ["OPS", "oracle_sql", "queries", "selection"]
+__all__ = ["OPS", "analysis", "oracle_sql", "queries", "selection", "texts"]
 
 
 def queries() -> dict:
