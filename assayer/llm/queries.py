@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, pii, simhash, spans, toxicity, warc
+from . import bpe, chat, decontaminate, langid, pii, simhash, spans, topk, toxicity, warc
 from .common import load, shared_path
 
 
@@ -54,6 +54,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(load(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(load(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op4_warc, op5_chat, op6_simhash, op8_spans, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op4_warc, op5_chat, op6_simhash, op7_topk, op8_spans, op9_toxicity, op10_pii)}
 
 
 OP2_SQL = r"""
