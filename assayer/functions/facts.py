@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import compact, nfkc_ascii, strip, text0
+from .text import compact, let, nfkc_ascii, strip, text0
 
 FACTS = "struct<pol:array<string>,val:array<string>,date:array<string>>"
 
@@ -86,15 +86,17 @@ def answer_in_pool(answer: Column, pool: Column, **sets) -> Column:
 
     A null pool gives null: no pool is not an empty pool.
     """
-    m = masked_facts(answer, **sets)
+    inside = let(F.struct(masked_facts(answer, **sets).alias("m"), strip(text0(answer)).alias("a"), pool.alias("p")), lambda x: _in_pool(x["m"], x["a"] == "", x["p"]))
+    return F.when(pool.isNotNull(), inside)
+
+
+def _in_pool(m: Column, empty: Column, pool: Column) -> Column:
     size = lambda f: F.size(f["pol"]) + F.size(f["val"]) + F.size(f["date"])
-    empty = strip(text0(answer)) == ""
     drift = F.array_sort(F.concat(F.array_except(m["pol"], pool["pol"]), F.array_except(m["val"], pool["val"]), F.filter(m["date"], lambda d: ~date_covered(d, pool["date"]))))
     own, known = size(m) > 0, size(pool) > 0
     inside = ~empty & (F.size(drift) == 0)
     reason = F.when(empty, "empty_answer").when(~own & known, "no_comparable_facts").when(~own, "no_facts_in_either").when(~known, "v1_pool_has_no_facts").when(~inside, "introduced_new_fact").otherwise("ok")
-    out = F.struct(inside.alias("in_pool"), (empty | (own & known)).alias("comparable"), reason.alias("reason"), drift.alias("drift_facts"))
-    return F.when(pool.isNotNull(), out)
+    return F.struct(inside.alias("in_pool"), (empty | (own & known)).alias("comparable"), reason.alias("reason"), drift.alias("drift_facts"))
 
 
 def majority(sets: Column) -> Column:
@@ -116,7 +118,10 @@ def _opposites() -> Column:
 
 def answer_in_support(answer: Column, known: Column) -> Column:
     """struct<in_support, reason, contradict, value_ok>: conclusions must be covered by a sample and not oppose the majority; without conclusions, numbers must be known."""
-    concl, values = conclusion_slots(answer), number_facts(answer)
+    return let(F.struct(conclusion_slots(answer).alias("c"), number_facts(answer).alias("v"), known.alias("k")), lambda x: _supported(x["c"], x["v"], x["k"]))
+
+
+def _supported(concl: Column, values: Column, known: Column) -> Column:
     contradict = F.exists(_opposites(), lambda p: F.array_contains(concl, p["a"]) & F.array_contains(known["majority_concl"], p["b"]))
     covered = F.exists(known["sample_concls"], lambda s: F.size(F.array_except(concl, s)) == 0)
     value_ok = F.size(F.array_except(values, known["value_union"])) == 0

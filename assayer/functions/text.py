@@ -138,9 +138,16 @@ def sentences(c: Column | str, end: str = P.SENTENCE_END) -> Column:
     return F.filter(F.transform(F.split(text0(c), end, -1), strip), lambda s: s != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas would compute a captured expression for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _grams(s: Column, n: int) -> Column:
-    """n-grams of a text; none if it is shorter (sequence() would count down)."""
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """n-grams of a text, in linear time over its characters; none if it is shorter (sequence() would count down)."""
+    none = F.array().cast("array<string>")
+    joined = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
+    return let(F.split(s, ""), lambda c: F.when(F.size(c) >= n, joined(c)).otherwise(none))
 
 
 def ngrams(c: Column | str, n: int = 8) -> Column:
@@ -149,8 +156,7 @@ def ngrams(c: Column | str, n: int = 8) -> Column:
 
 
 def distinct2(c: Column | str) -> Column:
-    g = ngrams(c, 2)
-    return F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(g)) / F.size(g))
+    return let(ngrams(c, 2), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(g)) / F.greatest(F.lit(1), F.size(g))))
 
 
 def max_repeat(items: Column) -> Column:
@@ -166,10 +172,9 @@ def max_repeat(items: Column) -> Column:
 
 def repeat_penalty(c: Column | str) -> Column:
     """0.35 for an 8-gram 5 times, 0.35 for a 12-gram 4 times, 0.25 for a 20-gram 3 times; at most 0.8; none below 80 characters."""
-    s = compact(text0(c))
-    part = lambda n, times, w: F.when(max_repeat(_grams(s, n)) >= times, F.lit(w)).otherwise(F.lit(0.0))
-    total = part(8, 5, 0.35) + part(12, 4, 0.35) + part(20, 3, 0.25)
-    return F.when(F.length(s) < 80, F.lit(0.0)).otherwise(F.least(F.lit(0.8), total))
+    part = lambda s, n, times, w: F.when(max_repeat(_grams(s, n)) >= times, F.lit(w)).otherwise(F.lit(0.0))
+    total = lambda s: F.least(F.lit(0.8), part(s, 8, 5, 0.35) + part(s, 12, 4, 0.35) + part(s, 20, 3, 0.25))
+    return let(compact(text0(c)), lambda s: F.when(F.length(s) < 80, F.lit(0.0)).otherwise(total(s)))
 
 
 def length_penalty(c: Column | str, most: int = 2200) -> Column:
@@ -185,22 +190,21 @@ def degeneration_input(c: Column | str) -> Column:
 
 def degeneration(norm: Column) -> Column:
     """struct of short_ratio, max_8gram, distinct2, max_sentence, soft, extreme over a normalised text."""
-    s = sentences(norm)
-    open_ = F.filter(s, lambda x: ~x.rlike(r"(?U)\d"))
-    short = F.size(F.filter(open_, lambda x: F.length(x) <= 6)) / F.greatest(F.lit(1), F.size(open_))
-    eight, d2 = max_repeat(ngrams(norm, 8)), distinct2(norm)
-    same = max_repeat(F.filter(F.transform(s, compact), lambda x: F.length(x) >= 10))
-    return F.struct(
-        short.alias("short_ratio"), eight.alias("max_8gram"), d2.alias("distinct2"), same.alias("max_sentence"),
-        ((short > 0.25) | (eight >= 3)).alias("soft"), ((d2 < 0.10) | (same >= 3) | ((eight >= 5) & (d2 < 0.35))).alias("extreme"),
-    )
+    ratio = lambda o: F.size(F.filter(o, lambda x: F.length(x) <= 6)) / F.greatest(F.lit(1), F.size(o))
+    same = lambda s: max_repeat(F.filter(F.transform(s, compact), lambda x: F.length(x) >= 10))
+    open_ = lambda s: F.filter(s, lambda x: ~x.rlike(r"(?U)\d"))
+    measured = let(sentences(norm), lambda s: F.struct(let(open_(s), ratio).alias("short"), same(s).alias("same"), max_repeat(ngrams(norm, 8)).alias("eight"), distinct2(norm).alias("d2")))
+    return let(measured, lambda m: F.struct(
+        m["short"].alias("short_ratio"), m["eight"].alias("max_8gram"), m["d2"].alias("distinct2"), m["same"].alias("max_sentence"),
+        ((m["short"] > 0.25) | (m["eight"] >= 3)).alias("soft"), ((m["d2"] < 0.10) | (m["same"] >= 3) | ((m["eight"] >= 5) & (m["d2"] < 0.35))).alias("extreme"),
+    ))
 
 
 def gram_overlap(think: Column, ref: Column, n: int = 5, think_chars: int = 3000, ref_chars: int = 6000) -> Column:
     """Share of a text's distinct n-grams that occur in the reference. The caps are part of the measure."""
-    a = F.array_distinct(ngrams(F.substring(text0(think), 1, think_chars), n))
     b = ngrams(F.substring(text0(ref), 1, ref_chars), n)
-    return F.when((F.size(a) == 0) | (text0(ref) == ""), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    share = lambda a: F.when((F.size(a) == 0) | (text0(ref) == ""), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a)))
+    return let(F.array_distinct(ngrams(F.substring(text0(think), 1, think_chars), n)), share)
 
 
 def common_run(a: str, b: str) -> int:

@@ -196,7 +196,7 @@ def reward_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = facts.pool_facts(F.array(F.lit("approved")), **sets)
     ok, bad = "<answer>approved</answer>", "<answer>refused</answer>"
     cases = [("good", F.lit(""), ok, True), ("rule_bad", F.lit("according to "), ok, True), ("answer_bad", F.lit(""), bad, True), ("format_bad", F.lit(""), ok, False)]
-    score = lambda lead, ans, closed: rules.text_reward(F.concat(F.lit("<think>"), lead, F.col("t"), F.lit(("</think>" if closed else "") + ans)), pool, F.lit(None).cast("double"), 0, P.RAG_STYLE_LATIN, **sets)
+    score = lambda lead, ans, closed: rules.text_reward(F.concat(F.lit("<think>"), lead, F.col("t"), F.lit(("</think>" if closed else "") + ans)), pool, F.lit(None).cast("double"), 0, {"A": ["according to"]}, **sets)
     s = b.select("item_id", *[score(lead, a, closed).alias(name) for name, lead, a, closed in cases])
     good = (F.col("good") > F.col("rule_bad")) & (F.col("rule_bad") > F.col("answer_bad")) & (F.col("answer_bad") > F.col("format_bad"))
     return s.agg(F.min(good.cast("int")).alias("good_first"), F.count("*").alias("n"))

@@ -12,31 +12,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_stream(spark: SparkSession, source: str, schema, files_per_batch: int) -> DataFrame:
+    """A stream over a folder of Parquet files, or over a single one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if fs.getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return reader.parquet(source)
+
+
 def gather(spark: SparkSession, source: str, schema, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, ok: str, target: int, files_per_batch: int = 1) -> int:
     """Scores files batch by batch until `target` rows are ok; returns the number of rows written.
 
     Batches are whole files, so the overshoot is one batch at most. The success count is read
     from what is committed, never kept in memory across batches.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = file_stream(spark, source, schema, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
         score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
-    try:
-        while query.isActive:
-            query.processAllAvailable() if target <= 0 else None
-            if target > 0 and done(spark, out, ok)[1] >= target:
-                break
-            if not query.status["isDataAvailable"] and not query.status["isTriggerActive"] and query.lastProgress is not None and query.lastProgress["numInputRows"] == 0:
-                break
-            query.awaitTermination(1)
-    finally:
-        query.stop()
+    query = None
+    while done(spark, out, ok)[1] < target:
+        before = done(spark, out, ok)[0]
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+        try:
+            while query.isActive and done(spark, out, ok)[0] == before and not _idle(query):
+                query.awaitTermination(0.2)
+        finally:
+            query.stop()
+        if done(spark, out, ok)[0] == before:
+            break  # nothing is left
     return done(spark, out, ok)[0]
 
 
+def _idle(query) -> bool:
+    """Whether the source has nothing more."""
+    p = query.lastProgress
+    return p is not None and p["numInputRows"] == 0 and not query.status["isDataAvailable"]
+
+
 def done(spark: SparkSession, out: str, ok: str) -> tuple[int, int]:
     """Rows and successes committed so far."""
     from ..sources.tables import exists
@@ -49,7 +65,7 @@ def done(spark: SparkSession, out: str, ok: str) -> tuple[int, int]:
 
 def run_available(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
     """Processes all files there are, then ends; a second call takes only what is new."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = file_stream(spark, source, schema, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
