@@ -108,7 +108,7 @@ def majority(sets: Column) -> Column:
 def support(answers: Column) -> Column:
     """struct<n, sample_concls, value_union, majority_concl> of an array of answers."""
     concls = F.transform(answers, conclusion_slots)
-    return F.struct(F.size(answers).alias("n"), concls.alias("sample_concls"), _sorted(F.flatten(F.transform(answers, number_facts))).alias("value_union"), majority(concls).alias("majority_concl"))
+    return F.struct(F.size(answers).alias("n"), concls.alias("sample_concls"), _sorted(F.flatten(F.transform(answers, lambda a: number_facts(a)))).alias("value_union"), majority(concls).alias("majority_concl"))
 
 
 def _opposites() -> Column:

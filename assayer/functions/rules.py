@@ -37,7 +37,7 @@ def _stands_alone(sentence: Column, token: str = P.DOC_TOKEN) -> Column:
 
 def document_dump(think: Column) -> Column:
     """Three or more documents in citations that stand alone, or a label line for documents."""
-    alone = F.aggregate(F.transform(F.filter(sentences(think), _stands_alone), lambda s: F.size(_documents(s))), F.lit(0), lambda a, x: a + x)
+    alone = F.aggregate(F.transform(F.filter(sentences(think), lambda s: _stands_alone(s)), lambda s: F.size(_documents(s))), F.lit(0), lambda a, x: a + x)
     return (alone >= 3) | text0(think).rlike(P.POLICY_LABEL)
 
 
