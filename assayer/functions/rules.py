@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import facts, patterns as P
-from .text import degeneration, degeneration_input, extract_references, length_penalty, mask_facts, match_ratio, nfkc_ascii, parse_diagnostic, parse_think_answer, repeat_penalty, sentences, strict_tags, strip, text0, copy_signal
+from .text import degeneration, degeneration_input, extract_references, length_penalty, let, mask_facts, match_ratio, nfkc_ascii, parse_diagnostic, parse_think_answer, repeat_penalty, sentences, strict_tags, strip, text0, copy_signal
 
 
 def _or(parts: list[Column]) -> Column:
@@ -156,10 +156,15 @@ def lexicographic_reward(format_good: Column, in_pool: Column, comparable: Colum
 
 def text_reward(text: Column, pool: Column, judge: Column, least_think: int = 40, marks: dict | None = None, **sets) -> Column:
     """The lexicographic reward of one reply against pool facts."""
-    p = parse_diagnostic(text)
-    good = strict_tags(text) & p["format_ok"] & (F.length(p["think"]) >= least_think)
-    inside = facts.answer_in_pool(p["answer"], pool, **sets)
-    return lexicographic_reward(good, inside["in_pool"], inside["comparable"], has_rag_style(p["think"], marks), judge, repeat_penalty(p["think"]) + length_penalty(p["think"]))
+    penalty = lambda t: repeat_penalty(t) + length_penalty(t)
+
+    def value(x: Column) -> Column:
+        p, inside = x["p"], x["i"]
+        good = x["strict"] & p["format_ok"] & (F.length(p["think"]) >= least_think)
+        return lexicographic_reward(good, inside["in_pool"], inside["comparable"], has_rag_style(p["think"], marks), judge, penalty(p["think"]))
+
+    parts = let(parse_diagnostic(text), lambda p: F.struct(p.alias("p"), strict_tags(text).alias("strict"), facts.answer_in_pool(p["answer"], pool, **sets).alias("i")))
+    return let(parts, value)
 
 
 def hard_reasons(checks: dict[str, Column]) -> Column:
