@@ -345,3 +345,46 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     out = run_available(spark, f"{sf_dir}/events.parquet", schema, lambda d: d.select("event_id", "event_type", (F.col("value") >= 50).alias("ok")), f"{here}/out", f"{here}/checkpoint")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/assayer-scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("S-1 S-3 S-4", "SELECT item_id, text FROM benchmark")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "jsonl")
+    tables.write_jsonl(table(spark, sf_dir, "benchmark"), path)
+    return tables.read_jsonl(spark, path, "item_id long, text string", mode="strict")
+
+
+@query("S-6 S-7", "SELECT DISTINCT trim(p_brand) AS brand, trim(p_type) AS kind FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
+def sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, p = _scratch(spark, "sheet"), table(spark, sf_dir, "part")
+    p.select(F.concat(F.lit(" "), "p_brand").alias("brand"), F.col("p_type").alias("kind")).write.option("header", True).csv(path)
+    first = p.agg(F.min("p_brand").alias("b")).first()["b"]
+    return tables.read_table(spark, path, keep=f"brand={first}", required=("brand", "kind"))
+
+
+@query("W-21", """WITH s AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_id < 1000),
+k AS (SELECT event_id, value FROM s WHERE i % CAST(ceil(n / 60.0) AS BIGINT) = 0), e AS (SELECT min(value) AS lo, max(value) AS hi FROM k)
+SELECT event_id, value, CAST(least(7, floor((value - lo) / (hi - lo) * 8)) AS INT) AS level FROM k, e""")
+def downsampled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.downsample(table(spark, sf_dir, "events").filter("event_id < 1000"), "event_id", "value")
+
+
+@query("T-27", r"SELECT conv_id, turn, length(regexp_replace(substr(text, 3, 9), '\s+', '', 'g')) >= 8 AS found FROM conversations")
+def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quote = F.concat(F.lit(" "), F.substring("text", 3, 9), F.lit("\n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.quote_found(quote, F.col("text"), 8).alias("found"))
+
+
+@query("T-26 S-12", "SELECT item_id, '结论：' || array_to_string(list_sort(list_filter(['the ', 'of ', 'and '], lambda w: contains(text, w))), '、') AS anchor FROM benchmark WHERE contains(text, 'the ') OR contains(text, 'of ') OR contains(text, 'and ')")
+def anchor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = {"polarity": ["the ", "of ", "and "], "dates": "(?!)", "values": ["(?!)"]}
+    b = table(spark, sf_dir, "benchmark").select("item_id", facts.pool_facts(F.array("text"), **sets).alias("pool"))
+    return b.select("item_id", facts.anchor_text(F.col("pool")).alias("anchor")).filter("anchor <> ''")
