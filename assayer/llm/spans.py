@@ -32,13 +32,14 @@ from LENGTH bytes on; overlaps count; every input row gives one row.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, small_batches
@@ -222,9 +223,20 @@ def _settled(sent: DataFrame, name: str) -> DataFrame:
     return materialize(sent.groupBy("bucket").applyInArrow(_sorted_bucket, "block int, bucket int, n long, flags binary"), name)
 
 
-def _blocks(df: DataFrame, n_blocks: int) -> DataFrame:
+def _block_names(spark: SparkSession, n: int) -> list[int]:
+    """n numbers of which each hash partition of n gets one: as keys they deal blocks out evenly.
+
+    About n log n numbers are tried, and n small ones come back: one for each BLOCK_BYTES of text.
+    """
+    tries = int(n * (math.log(n + 1) + 12)) + 32
+    named = spark.range(tries).select(F.col("id").cast("int").alias("name")).groupBy(F.pmod(F.hash("name"), F.lit(n)).alias("part")).agg(F.min("name").alias("name"))
+    names = {r["part"]: r["name"] for r in named.collect()}
+    return [names.get(i, tries + i) for i in range(n)]
+
+
+def _blocks(df: DataFrame, names: list[int]) -> DataFrame:
     """Distinct texts by block as a bucketed table: later passes group by block without moving text."""
-    spark = df.sparkSession
+    spark, n_blocks = df.sparkSession, len(names)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -233,7 +245,7 @@ def _blocks(df: DataFrame, n_blocks: int) -> DataFrame:
             fresh = [i for i, x in enumerate(h) if seen.setdefault(x, i) == i and not (seen.__setitem__(x, -1))]
             if fresh:
                 own = b.take(pa.array(fresh))
-                block = [int.from_bytes(h[i][:6], "little") % n_blocks for i in fresh]
+                block = [names[int.from_bytes(h[i][:6], "little") % n_blocks] for i in fresh]
                 yield pa.record_batch([pa.array(block, pa.int32()), own.column("h"), own.column("text")], names=["block", "h", "text"])
 
     name, path = f"assayer_spans_{uuid.uuid4().hex[:12]}", shared_path(spark, "spans-blocks")
@@ -244,6 +256,12 @@ def _blocks(df: DataFrame, n_blocks: int) -> DataFrame:
     return table
 
 
+def _named(df: DataFrame, names: list[int]) -> DataFrame:
+    """Replaces block numbers by names through a table of one row for each block."""
+    table = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, block int")
+    return df.join(table, "i").select("block", "h")
+
+
 def remove_repeats(df: DataFrame, text: str = "text", kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `kept` also the remaining bytes."""
     spark = df.sparkSession
@@ -254,10 +272,12 @@ def remove_repeats(df: DataFrame, text: str = "text", kept: bool = False) -> Dat
     sample_buckets = max(1, int(total * len(COVER) / PERIOD) // BUCKET_KEYS + 1)
     suffix_buckets = max(1, total // (4 * BUCKET_KEYS) + 1)
     copies = materialize(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "spans-copies")
-    blocks = _blocks(rows, n_blocks)
+    names = _block_names(spark, n_blocks)
+    blocks = _blocks(rows, names)
     # numbers of copies travel to the blocks by the same rule
     number = F.conv(F.concat(*[F.substring(F.hex("h"), 2 * i + 1, 2) for i in range(5, -1, -1)]), 16, 10).cast("decimal(20,0)") % n_blocks
-    repeated = copies.select(number.cast("int").alias("block"), "h")
+    repeated = copies.select(number.cast("int").alias("i"), "h")
+    repeated = _named(repeated, names)
 
     nothing = lambda kind: F.lit(None).cast(kind)
     of_copies = repeated.select("block", F.lit(0).alias("kind"), nothing("int").alias("bucket"), nothing("long").alias("n"), nothing("binary").alias("flags"), "h")
