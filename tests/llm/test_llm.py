@@ -364,7 +364,7 @@ def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
     base = say(80)
-    texts = {1: base, 2: base, 3: say(40) + " " + item + " " + say(40), 4: say(50) + " bo@x.org", 5: None, 6: say(60)}
+    texts = {1: base, 2: base, 3: say(40) + " " + item + " " + say(40), 4: say(50) + " bo@x.org", 5: None, 6: say(60), None: say(30)}
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in texts.items()], schema)
     docs.withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -374,5 +374,5 @@ def test_pipeline_stages(spark, tmp_path):
         out = stage(spark, out, str(tmp_path))
         assert tuple(out.columns) == P.COLUMNS, name
     got = {r.doc_id: r.text for r in out.collect()}
-    assert set(got) == {1, 4, 5, 6} and got[4].endswith(" [EMAIL]") and got[1] == base
-    assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {1, 4, 5, 6}
+    assert set(got) == {1, 4, 5, 6, None} and got[4].endswith(" [EMAIL]") and got[1] == base
+    assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {1, 4, 5, 6, None}
