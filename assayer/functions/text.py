@@ -167,7 +167,8 @@ def max_repeat(items: Column) -> Column:
         run = F.when((acc["run"] > 0) & (acc["last"] == x), acc["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    return F.aggregate(F.array_sort(items), start, step)["most"]
+    # sort_array compares in Java; array_sort would call a lambda for every comparison
+    return F.aggregate(F.sort_array(items), start, step)["most"]
 
 
 def repeat_penalty(c: Column | str) -> Column:

@@ -68,14 +68,14 @@ def _gram_sql(n: int) -> str:
 @query("T-9 T-10 T-11 T-16", f"""WITH d AS (SELECT doc_id, {_HEAD} AS t FROM documents), g AS (SELECT doc_id, length(t) AS compact_len, {_gram_sql(2)} AS two, {_gram_sql(8)} AS eight FROM d)
 SELECT doc_id, compact_len, round(CASE WHEN len(two) = 0 THEN 0.0 ELSE len(list_distinct(two)) / len(two) END, 6) AS distinct2, coalesce(list_max(map_values(list_histogram(eight))), 0)::BIGINT AS max_8gram FROM g""")
 def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the measures are defined on the first 3,000 characters of a text
-    d = table(spark, sf_dir, "documents").withColumn("t", F.substring("text", 1, 3000))
-    return d.select("doc_id", long(X.compact_length(F.col("t"))).alias("compact_len"), r6(X.distinct2("t")).alias("distinct2"), long(X.max_repeat(X.ngrams("t", 8))).alias("max_8gram"))
+    # over the whole text, as the reference; the SQL looks at the first 3,000 characters only
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", long(X.compact_length(F.col("text"))).alias("compact_len"), r6(X.distinct2("text")).alias("distinct2"), long(X.max_repeat(X.ngrams("text", 8))).alias("max_8gram"))
 
 
 @query("T-12 T-13", None)
 def degeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("n", X.degeneration_input(F.substring("text", 1, 3000))).withColumn("d", X.degeneration(F.col("n")))
+    d = table(spark, sf_dir, "documents").withColumn("n", X.degeneration_input("text")).withColumn("d", X.degeneration(F.col("n")))
     return d.select("doc_id", r6(F.col("d.short_ratio")).alias("short_ratio"), long("d.max_8gram").alias("max_8gram"), long("d.max_sentence").alias("max_sentence"), "d.soft", "d.extreme")
 
 
@@ -83,7 +83,7 @@ def degeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, round(CASE WHEN length(t) < 80 THEN 0 ELSE least(0.8, CASE WHEN a >= 5 THEN 0.35 ELSE 0 END + CASE WHEN b >= 4 THEN 0.35 ELSE 0 END + CASE WHEN c >= 3 THEN 0.25 ELSE 0 END) END::DOUBLE, 6) AS repeat_penalty,
 round(CASE WHEN n <= 2200 THEN 0 ELSE least(0.6, (n - 2200) / 1000.0 * 0.3) END::DOUBLE, 6) AS length_penalty FROM (SELECT *, length({_STRIP.format(x='text')}) AS n FROM g)""")
 def repeat_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", r6(X.repeat_penalty(F.substring("text", 1, 3000))).alias("repeat_penalty"), r6(X.length_penalty("text")).alias("length_penalty"))
+    return table(spark, sf_dir, "documents").select("doc_id", r6(X.repeat_penalty("text")).alias("repeat_penalty"), r6(X.length_penalty("text")).alias("length_penalty"))
 
 
 def _with_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
