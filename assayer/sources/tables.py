@@ -90,12 +90,14 @@ def training_log(states: DataFrame, log: str = "log_history") -> DataFrame:
 
 
 def downsample(df: DataFrame, order: str, value: str, points: int = 60, levels: int = 8) -> DataFrame:
-    """Evenly spaced points of a series, as levels between its least and largest value."""
-    from pyspark.sql import Window
-
-    n = df.count()
-    every = max(1, -(-n // points))
-    kept = df.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).filter(F.col("i") % every == 0)  # one series
+    """Evenly spaced points of a series in the order of a number, as levels between its least and largest value."""
+    from ..operators.ranking import BUCKET_DIGITS, global_rank
+
+    seen = df.agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    every, lo = max(1, -(-seen["n"] // points)), float(seen["lo"] or 0)
+    width = max((float(seen["hi"] or 0) - lo) / 16**BUCKET_DIGITS, 1e-300)
+    bucket = F.coalesce(F.floor((F.col(order).cast("double") - lo) / width), F.lit(-1))  # rows without a place come first
+    kept = global_rank(df, [F.col(order)], bucket, "i").filter((F.col("i") - 1) % every == 0)
     ends = kept.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     unit = F.try_divide(F.col(value) - F.col("lo"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
     return kept.crossJoin(F.broadcast(ends)).select(order, value, F.least(F.lit(levels - 1), F.floor(F.coalesce(unit, F.lit(0.0)) * levels)).cast("int").alias("level"))

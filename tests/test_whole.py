@@ -43,3 +43,13 @@ def test_ngram_measures_take_the_whole_text(spark, late_dir):
 def test_degeneration_takes_the_whole_text(spark, late_dir):
     got = {r.doc_id: r for r in plans.queries()["degeneration"](spark, late_dir).collect()}
     assert got[4].max_sentence == 1 and got[5].extreme and got[5].max_sentence >= 5
+
+
+def test_series_is_sampled_to_its_end(spark, tmp_path):
+    rows = [(i * 3, float(i)) for i in range(5000)]
+    spark.createDataFrame(rows, "event_id long, value double").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in plans.queries()["downsampled_series"](spark, str(tmp_path)).collect())
+    every = -(-5000 // 60)
+    kept = rows[::every]
+    top = kept[-1][1]
+    assert got == [(k, v, min(7, int(v / top * 8))) for k, v in kept]
