@@ -53,3 +53,19 @@ def test_series_is_sampled_to_its_end(spark, tmp_path):
     kept = rows[::every]
     top = kept[-1][1]
     assert got == [(k, v, min(7, int(v / top * 8))) for k, v in kept]
+
+
+def test_chat_parts_are_contiguous_and_complete(spark, monkeypatch):
+    chat = pytest.importorskip("assayer.llm.chat")
+    monkeypatch.setattr(chat, "PART_TURNS", 4)
+    rows = [(None, 0, "ann" if i < 2 else "bob", f"t{i:02}") for i in range(30)] + [(1, t, ("ann", "bob", "system")[min(t, 1) + (t == 7)], f"u{t:02}") for t in range(11)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    for conv in (None, 1):
+        mine = [(r[1], r[2], r[3]) for r in rows if r[0] == conv]
+        mine.sort()
+        parts = [mine[k : k + 4] for k in range(0, len(mine), 4)]
+        assert {(r.part, r.speaker) for r in got if r.conv_id == conv} == {(k, s) for k in range(len(parts)) for s in ("ann", "bob")}
+        for r in (r for r in got if r.conv_id == conv):
+            heads = ["assistant" if s == r.speaker else "system" if s == "system" else f"user name={s}" for _, s, _ in parts[r.part]]
+            assert r.text == "".join(f"<|im_start|>{h}\n{t}<|im_end|>\n" for h, (_, _, t) in zip(heads, parts[r.part], strict=True))
+            assert r.n_masked == heads.count("assistant")
