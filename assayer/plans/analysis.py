@@ -89,6 +89,12 @@ def gram_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.filter(F.col("shared") >= 0.2 * F.least("m", "om")).select("item_id", "other_id", "shared")
 
 
+@query("J-10 T-9")
+def gram_containment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents against the benchmark."""
+    return J.gram_containment(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
+
+
 @query("A-1 A-2 A-3 X-5 X-12", f"WITH {C} SELECT pk, round(avg(CASE WHEN qty > 3 THEN qty END), 6) AS clean_score, round(coalesce(stddev_samp(CASE WHEN qty > 3 THEN qty END), 0), 6) AS sd, count(CASE WHEN qty > 3 THEN qty END) AS n FROM c GROUP BY pk")
 def vote_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = candidates(spark, sf_dir).withColumn("v", F.when(F.col("qty") > 3, F.col("qty")))

@@ -69,3 +69,25 @@ def test_chat_parts_are_contiguous_and_complete(spark, monkeypatch):
             heads = ["assistant" if s == r.speaker else "system" if s == "system" else f"user name={s}" for _, s, _ in parts[r.part]]
             assert r.text == "".join(f"<|im_start|>{h}\n{t}<|im_end|>\n" for h, (_, _, t) in zip(heads, parts[r.part], strict=True))
             assert r.n_masked == heads.count("assistant")
+
+
+def test_gram_containment_of_documents(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    items = [(i, say(rng.randint(3, 80))) for i in range(12)] + [(20, None), (21, "abc")]
+    docs = [(i, say(rng.randint(0, 400)) + rng.choice(items[:12])[1][: rng.randint(5, 80)] if i % 3 else say(rng.randint(0, 30))) for i in range(40)]
+    docs += [(None, "x" * 4000 + items[0][1]), (99, docs[1][1]), (100, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    grams = lambda t: (lambda s: {s[i : i + 5] for i in range(len(s) - 4)})(re.sub(r"\s+", "", t or ""))
+    want = []
+    for d, t in docs:
+        for i, u in items:
+            a, b = grams(t), grams(u)
+            if a and b and len(a & b) >= 0.2 * min(len(a), len(b)):
+                want.append((d, i, len(a & b)))
+    got = [tuple(r) for r in plans.queries()["gram_containment_documents"](spark, str(tmp_path)).collect()]
+    assert want and any(d is None for d, _, _ in want)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
