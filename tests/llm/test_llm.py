@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -280,6 +282,45 @@ def test_repeats_against_brute_force(spark, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), int(gone.sum()), runs, left)
 
 
+def test_equal_keys_of_different_strings_stay_apart():
+    # two blocks hold the same key; only the second hash, which names the bucket, tells the strings apart
+    text = spans._Text(spans.BYTES, None, 0, False)
+    one = np.array([7], np.uint64)
+    apart = [np.array([1 << 60], np.uint64), np.array([3 << 62], np.uint64)]
+    for seconds, shared in ((apart, False), ([apart[0]] * 2, True)):
+        sorts = [spans._Sorted([text], [one], 4, [second]) for second in seconds]
+        sent = pa.concat_tables([s.messages(b) for b, s in enumerate(sorts)])
+        back = pa.concat_tables([spans._sorted_bucket(sent.filter(pc.equal(sent.column("bucket"), b))) for b in set(sent.column("bucket").to_pylist())])
+        for b, s in enumerate(sorts):
+            assert [f.tolist() for f in s.flags(back.filter(pc.equal(back.column("block"), b)))] == [[shared]]
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK_BYTES", 9_000)
+    monkeypatch.setattr(spans, "BUCKET_KEYS", 500)
+    rng = random.Random(8)
+    say = lambda n: [rng.choice("abcdefgh") + rng.choice("xyzé") * rng.choice([1, 1, 2]) for _ in range(n)]
+    shared = [say(n) for n in (49, 50, 51, 52, 80)] + [["w" * 700] * 60]
+    texts = [None, "", " \n ", "a " * 49, "a " * 50, "a " * 51]
+    for _ in range(25):
+        own = []
+        for _ in range(rng.randint(1, 3)):
+            own += say(rng.randint(0, 60)) + rng.choice(shared)
+        texts.append(rng.choice([" ", "\n", " \t"]).join(own) + rng.choice(["", " "]))
+    cut = lambda t: [w[k : k + spans.WORD_BYTES] for w in (t or "").encode().split() for k in range(0, len(w), spans.WORD_BYTES)]
+    n = spans.PASSAGE_WORDS
+    seen = Counter(tuple(w[i : i + n]) for t in texts for w in [cut(t)] for i in range(len(w) - n + 1))
+    got = {r.doc_id: r for r in spans.remove_repeats(frame(spark, list(enumerate(texts))).repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        w = cut(t)
+        hit = np.zeros(len(w), bool)
+        for p in range(len(w) - n + 1):
+            if seen[tuple(w[p : p + n])] > 1:
+                hit[p : p + n] = True
+        runs = int((hit & ~np.concatenate([[False], hit[:-1]])).sum()) if len(w) else 0
+        assert (got[i].n_words, got[i].n_passage_words, got[i].n_passages) == (len(w), int(hit.sum()), runs)
+
+
 def test_repeats_empty(spark):
     assert spans.remove_repeats(frame(spark, [])).count() == 0
     assert spans.remove_repeats(frame(spark, EDGE)).count() == len(EDGE)
