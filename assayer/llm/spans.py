@@ -47,6 +47,7 @@ import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -170,13 +171,30 @@ def removed(n: int, places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarra
 
 
 class _Text:
-    """One text at one level."""
+    """One text at one level. Words are only looked for once a step needs them."""
 
-    def __init__(self, level: Level, symbols: Symbols, n: int, copied: bool):
-        self.level, self.symbols, self.n, self.copied = level, symbols, n, copied
-        self.last = n - level.length + 1  # places from which a string begins
+    def __init__(self, level: Level, data: np.ndarray, copied: bool):
+        self.level, self.data, self.copied = level, data, copied
+
+    @cached_property
+    def _words(self) -> np.ndarray:
+        return words(self.data)
+
+    def symbols(self, lo: int, hi: int) -> np.ndarray:
+        return _VALUES[self.data[lo:hi]] if self.level is BYTES else self._words[lo:hi]
+
+    @property
+    def n(self) -> int:
+        return len(self.data if self.level is BYTES else self._words)
+
+    @property
+    def last(self) -> int:
+        """Places from which a string begins."""
+        return self.n - self.level.length + 1
 
     def keys(self, at: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+        if not len(at):
+            return np.zeros(0, np.uint64)
         return keys_at(self.symbols, at, at + width, which) ^ np.uint64(self.level.salt)
 
     def sample(self) -> np.ndarray:
@@ -269,9 +287,7 @@ class _Block:
         self.number = block.column("block")[0].as_py() if block.num_rows else 0
         self.texts: list[_Text] = []
         for h, data in self.rows:
-            value = words(data)
-            self.texts.append(_Text(BYTES, lambda lo, hi, data=data: _VALUES[data[lo:hi]], len(data), n[h] > 1))
-            self.texts.append(_Text(WORDS, lambda lo, hi, value=value: value[lo:hi], len(value), n[h] > 1))
+            self.texts += [_Text(level, data, n[h] > 1) for level in (BYTES, WORDS)]
 
     def part(self, kind: int, state: bool = False) -> pa.Table:
         own = pc.equal(self.info.column("kind"), kind)
@@ -316,12 +332,12 @@ class _Block:
         keys = [[t.keys(p, t.level.length, which) for t, p in zip(self.texts, places, strict=True)] for which in (0, 1)]
         return _Sorted(self.texts, keys[0], buckets, keys[1])
 
-    def repeats(self, buckets: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int, np.ndarray]]:
-        """(hash, bytes, places of repeated strings of bytes, number of words, places of repeated strings of words) of each text."""
+    def repeats(self, buckets: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """(hash, bytes, places of repeated strings of bytes, and of words) of each text."""
         places, _ = self._known(3)
         found = [p[f] for p, f in zip(places, self._suffixes(places, buckets).flags(self.part(3)), strict=True)]
         for i, (h, data) in enumerate(self.rows):
-            yield h, data, found[2 * i], self.texts[2 * i + 1].n, found[2 * i + 1]
+            yield h, data, found[2 * i], found[2 * i + 1]
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
@@ -384,7 +400,7 @@ def _blocks(df: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, text: str = "text", kept: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_words, n_passage_words, n_passages; with `kept` also the remaining bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, n_passages; with `kept` also the remaining bytes."""
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t")).withColumn("h", F.unhex(F.md5("t")))
@@ -399,11 +415,11 @@ def remove_repeats(df: DataFrame, text: str = "text", kept: bool = False) -> Dat
 
     def result(own: _Block) -> pa.Table:
         out: list[tuple] = []
-        for h, data, places, n_words, passages in own.repeats(suffix_buckets):
+        for h, data, places, passages in own.repeats(suffix_buckets):
             gone, n_spans = removed(len(data), places)
-            said, n_passages = removed(n_words, passages, PASSAGE_WORDS)
+            said, n_passages = removed(int(passages[-1]) + PASSAGE_WORDS if len(passages) else 0, passages, PASSAGE_WORDS)
             left = data[~gone].tobytes()
-            out.append((h, len(data), int(gone.sum()), n_spans, hashlib.sha256(left).hexdigest(), n_words, int(said.sum()), n_passages, left if kept else None))
+            out.append((h, len(data), int(gone.sum()), n_spans, hashlib.sha256(left).hexdigest(), int(said.sum()), n_passages, left if kept else None))
         cols = list(zip(*out, strict=True)) or [[]] * len(DONE)
         return pa.table([pa.array(c, t) for c, t in zip(cols, DONE.values(), strict=True)], names=list(DONE))
 
@@ -412,10 +428,10 @@ def remove_repeats(df: DataFrame, text: str = "text", kept: bool = False) -> Dat
     steps = [(lambda b: b.send_sample(sample_buckets), "ranks"), (lambda b: b.send_marks(sample_buckets), "marks"), (lambda b: b.send_suffixes(suffix_buckets, sample_buckets), "suffixes")]
     for kind, (f, name) in enumerate(steps, 1):
         known = _settled(together(f, SENT), f"spans-{name}").select(F.lit(kind).alias("kind"), "*")
-    schema = "h binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_words long, n_passage_words long, n_passages long, kept binary"
+    schema = "h binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long, kept binary"
     done = together(result, schema)
     done = materialize(done if kept else done.drop("kept"), "spans-result")
     return rows.select("doc_id", "h").join(done, "h").drop("h")
 
 
-DONE = {"h": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_words": pa.int64(), "n_passage_words": pa.int64(), "n_passages": pa.int64(), "kept": pa.binary()}
+DONE = {"h": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passage_words": pa.int64(), "n_passages": pa.int64(), "kept": pa.binary()}
