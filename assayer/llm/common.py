@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bounds of an Arrow batch for Python stages over whole texts.
 TEXT_ROWS_PER_BATCH = 2048
@@ -17,6 +18,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def set_apart(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with all columns but `own` under names (in_0, in_1, ...) that clash with no operator's, and the name of each column there."""
+    names = {c: c if c in own else f"in_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def named_back(names: dict[str, str], *but: str) -> list[Column]:
+    """The columns of set_apart in their order and under their own names, without `but`."""
+    return [F.col(v).alias(c) for c, v in names.items() if c not in but]
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
     """Bound the Arrow batches that Python stages of this session get."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,7 +18,9 @@ and never tells more apart), the verification sees the exact ones.
 
 Defined results: null and empty texts have no words and are not contaminated; items
 without words are ignored; items with a null id match but add nothing to n_items;
-repeated items count once per id; every input row gives one row, repeated ones too.
+repeated items count once per id; every input row gives one row, repeated ones too;
+words equally rare are told apart by their place in the item; very long texts are looked
+at whole. Other columns stay as they are, but for those named as the operator's results.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, named_back, set_apart
 
 WINDOW = 10
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,6 +44,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words up to which the vocabulary is broadcast while counting (tens of MB at most).
 VOCABULARY_ROWS = 500_000
+NEW = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def tokens(text: Column) -> Column:
@@ -104,18 +107,20 @@ def matches(docs: DataFrame, block: DataFrame) -> DataFrame:
     return runs.filter(long).select("k1", "k2", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r") + 1).alias("end"), "item_id")
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """Adds k1, k2: rows with equal keys have equal id and text, and so equal results."""
-    return docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("k2", F.xxhash64("doc_id", text))
+def _keyed(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """Adds k1, k2 to columns set apart: rows with equal keys have equal id and text, and so equal results."""
+    docs, names = set_apart(docs)
+    key, said = F.col(names["doc_id"]), F.col(names[text])
+    return docs.withColumns({"k1": F.coalesce(key.cast("long"), F.lit(0)), "k2": F.xxhash64(key, said), "said": said}), names
 
 
-def hits(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """k1, k2, n_hit, n_items, ids: the contaminated documents alone."""
+def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """k1, k2, n_hit, n_items, ids: the contaminated documents alone, of k1, k2 and said (the text)."""
     listed = materialize(item_words(items), "decontaminate-items")
     vocabulary = listed.select(F.explode("iw").alias("word")).distinct()
-    chosen = materialize(anchors(listed, frequencies(docs.select(F.col(text).alias("text")), vocabulary)), "decontaminate-anchors")
+    chosen = materialize(anchors(listed, frequencies(docs.select(F.col("said").alias("text")), vocabulary)), "decontaminate-anchors")
     blocks = max(1, -(-chosen.count() // BLOCK_ROWS))
-    split = _keyed(docs.select("doc_id", text), text).select("k1", "k2", tokens(F.col(text)).alias("tokens"))
+    split = docs.select("k1", "k2", tokens(F.col("said")).alias("tokens"))
     block = lambda b: chosen.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b) if blocks > 1 else chosen
     found = reduce(DataFrame.unionByName, [matches(split, block(b)) for b in range(blocks)])
     found = materialize(found, "decontaminate-matches")
@@ -130,17 +135,17 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated to each row."""
-    new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "k1", "k2")
-    docs = docs.select(*[c for c in docs.columns if c not in new])
-    pieces = tokens(F.col(text))
+    docs, names = _keyed(docs, text)
+    pieces = tokens(F.col("said"))
     ends = (F.element_at(pieces, 1) == "").cast("int") + ((F.element_at(pieces, -1) == "") & (F.size(pieces) > 1)).cast("int")
-    out = _keyed(docs, text).withColumn("n_words", (F.size(pieces) - ends).cast("long")).join(hits(docs, items, text), ["k1", "k2"], "left")
+    out = docs.withColumn("n_words", (F.size(pieces) - ends).cast("long")).join(hits(docs, items), ["k1", "k2"], "left")
     zero = F.lit(0).cast("long")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", zero), "n_items": F.coalesce("n_items", zero), "items_sha256": F.sha2(F.coalesce("ids", F.lit("")), 256)})
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("k1", "k2", "ids")
+    out = out.withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select(*named_back(names, *NEW), *NEW)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents without any contaminated word, columns as they were."""
-    names = docs.columns
-    return _keyed(docs, text).join(hits(docs, items, text), ["k1", "k2"], "left_anti").select(*names)
+    docs, names = _keyed(docs, text)
+    return docs.join(hits(docs, items), ["k1", "k2"], "left_anti").select(*named_back(names))

@@ -101,7 +101,7 @@ def _found(kind: str, pattern: str, valid: str) -> str:
     """Valid matches of one kind with offsets, from the matches and the pieces between them."""
     return rf"""
 {kind} AS (
-  SELECT doc_id, list_filter(list_transform(range(1, len(f) + 1), lambda i: {{'m': f[i],
+  SELECT doc_id, list_filter(list_transform(range(1, len(f) + 1), lambda i: {{'m': f[i], 'near': lower(right(coalesce(right(f[i - 1], 40), '') || p[i], 40)),
            's': CAST(coalesce(list_sum(list_transform(range(1, i + 1), lambda k: length(p[k]))), 0) + coalesce(list_sum(list_transform(range(1, i), lambda k: length(f[k]))), 0) AS BIGINT)}}), lambda x: {valid}) AS found
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS f, string_split_regex(coalesce(text, ''), '{pattern}') AS p FROM documents))"""
 
@@ -118,12 +118,14 @@ def op10_sql() -> str:
         "card": (r"[0-9]([\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 8 AND 15"),
     }
+    word = lambda w: f"regexp_matches(x.near, '(^|[^a-z])({w})($|[^a-z])')"
+    score = lambda k: f"list_transform({k}.found, lambda x: CAST(round(greatest(0, least(1, {pii.PRIOR[k]} + CASE WHEN {word(pii.CONTEXT[k])} THEN {pii.UP} ELSE 0 END - CASE WHEN {word(pii.AGAINST)} THEN {pii.DOWN} ELSE 0 END)), 2)::DOUBLE AS VARCHAR))"
     text = lambda k: f"list_transform({k}.found, lambda x: '{k}:' || x.s || ':' || (x.s + length(x.m)))"
     return "WITH " + ",".join(_found(k, p, v) for k, (p, v) in kinds.items()) + f""",
 spans AS (SELECT doc_id, {', '.join(f'CAST(len({k}.found) AS BIGINT) AS n_{k}' for k in kinds)},
-  array_to_string({' || '.join(text(k) for k in kinds)}, ',') AS spans
+  array_to_string({' || '.join(text(k) for k in kinds)}, ',') AS spans, array_to_string({' || '.join(score(k) for k in kinds)}, ',') AS scores
   FROM email JOIN ip USING (doc_id) JOIN card USING (doc_id) JOIN phone USING (doc_id))
-SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(spans) AS base_sha256, spans FROM spans"""
+SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(spans) AS base_sha256, spans, scores FROM spans"""
 
 
 OP4_SQL = """

@@ -17,14 +17,23 @@ find every link; only the work differs.
 Large anchors are split: home members are dealt into parts of at most PART expected rows
 and the other members go to each part, where they stream past the part's home members.
 
+Four blocks also serve radii up to 7: still one bit a block. `near_copies`
+uses that for a similarity of shingle sets. One 64-bit fingerprint tells too little about
+it, so SIGNATURE independent ones are taken of the same shingles. Texts are candidates
+where any of them lies within RADIUS bits, and are linked where all of them together
+differ in no more bits than the similarity (with SLACK for its error) lets expect.
+
 Defined results: null and blank texts have fingerprint zero and are linked like others;
-equal fingerprints are linked (distance 0); texts of fewer than four words hash as one
-shingle; repeated rows give repeated results; component_id ignores null ids.
+equal fingerprints are linked (distance 0); texts of fewer words than a shingle has hash
+as one shingle; very long texts are hashed HASHES shingles at a time; repeated rows give
+repeated results; component_id ignores null ids. `near_duplicates` returns its own columns
+alone; `near_copies` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, small_batches
 
@@ -43,28 +53,51 @@ LARGE = 50_000_000
 #: Home members of an anchor's part.
 PART = 4096
 HASHES = 1 << 16
+#: Fingerprints of a task that sends them to their anchors.
+SPREAD_ROWS = 20_000
+#: For near_copies: fingerprints a text, bits of one within which texts are candidates, and standard errors allowed.
+SIGNATURE = 5
+RADIUS = 7
+SLACK = 1.0
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of what h is a hash of; seed 0 leaves h as it is."""
+    if not seed:
+        return h
+    h = h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ h >> np.uint64(33)
+
+
+def signature(text: str | None, shingle: int = SHINGLE, seeds: int = 1) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of a text, one for each seed."""
     # bytes.split() cuts at ASCII white space: blank and 0x09 to 0x0D
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(seeds, np.uint64)
+    digest = xxhash.xxh64_intdigest
     whole = b" ".join(words)
+    if len(words) < shingle:
+        one = np.array([digest(whole, SEED)], np.uint64)
+        return np.array([_mixed(one, k)[0] for k in range(seeds)])
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - SHINGLE + 1
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    n = len(words) - shingle + 1
+    ones = np.zeros((seeds, 64), np.int64)
     for k in range(0, n, HASHES):
-        spans = zip(starts[k : min(n, k + HASHES)].tolist(), ends[k + SHINGLE - 1 : min(n, k + HASHES) + SHINGLE - 1].tolist(), strict=True)
+        spans = zip(starts[k : min(n, k + HASHES)].tolist(), ends[k + shingle - 1 : min(n, k + HASHES) + shingle - 1].tolist(), strict=True)
         h = np.array([digest(whole[a:b], SEED) for a, b in spans], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for seed in range(seeds):
+            ones[seed] += np.unpackbits(_mixed(h, seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint(text: str | None) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    return int(signature(text)[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
@@ -99,9 +132,9 @@ def home(v: np.ndarray, width: int) -> np.ndarray:
     return out | (v >> np.uint64(rest) << np.uint64(rest))
 
 
-def anchors(fp: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, blocks: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, index of the fingerprint, whether it is the home), without repeats per fingerprint."""
-    width, near = 64 // blocks, THRESHOLD // blocks
+    width, near = 64 // blocks, threshold // blocks
     flips = [0] + [sum(1 << i for i in c) for w in range(1, near + 1) for c in itertools.combinations(range(width), w)]
     out = []
     mask = np.uint64((1 << width) - 1)
@@ -136,83 +169,113 @@ def _forest(fp: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return parent
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tree(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the links (a, b) that span the components of all of them."""
+    root = _forest(np.arange(n), [(a, b)])
+    done, via = root == np.arange(n), np.full(n, -1)
+    while True:
+        f, g = done[a] & ~done[b], done[b] & ~done[a]
+        child, parent = np.concatenate([b[f], a[g]]), np.concatenate([a[f], b[g]])
+        if not len(child):
+            break
+        via[child] = parent
+        done[child] = True
+    own = np.flatnonzero(via >= 0)
+    return own, via[own]
+
+
+def _compared(threshold: int):
     """Rows come sorted by (anchor, part, not home): members stream past the home members of the part."""
-    anchor = part = None
-    homes = np.zeros(0, np.uint64)
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal edges, held
-        a = np.concatenate([x[0] for x in edges]).view(np.int64)
-        b = np.concatenate([x[1] for x in edges]).view(np.int64)
-        edges, held = [], 0
-        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def linked(members: np.ndarray) -> None:
-        """Keeps a spanning forest of the links between home members and members."""
-        nonlocal held
-        for k in range(0, len(members), 256):
-            own = members[k : k + 256]
-            i, j = np.nonzero(np.bitwise_count(homes[:, None] ^ own[None, :]) <= THRESHOLD)
-            differ = homes[i] != own[j]
-            i, j = i[differ], j[differ]
-            if len(i):
-                nodes, at = np.unique(np.concatenate([homes[i], own[j]]), return_inverse=True)
-                root = _forest(nodes, [(at[: len(i)], at[len(i) :])])
-                far = np.flatnonzero(root != np.arange(len(nodes)))
-                edges.append((nodes[far], nodes[root[far]]))
-                held += len(far)
-
-    for b in batches:
-        anc, prt = b.column("anchor").to_numpy(), b.column("part").to_numpy()
-        fp = b.column("fp").to_numpy().view(np.uint64)
-        own = b.column("home").to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero((anc[1:] != anc[:-1]) | (prt[1:] != prt[:-1])) + 1
-        for lo, hi in zip([0, *cut], [*cut, len(anc)], strict=True):
-            if lo == hi:
-                continue
-            if (anc[lo], prt[lo]) != (anchor, part):
-                anchor, part, homes = anc[lo], prt[lo], np.zeros(0, np.uint64)
-            mine = own[lo:hi]
-            if mine.any():
-                homes = np.concatenate([homes, fp[lo:hi][mine]])
-            if len(homes):
-                linked(fp[lo:hi])
-        if held > 100_000:
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor = part = None
+        homes, names = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal edges, held
+            a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+            edges, held = [], 0
+            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def linked(members: np.ndarray, nodes: np.ndarray) -> None:
+            """Keeps links that span those between home members and members."""
+            nonlocal held
+            for k in range(0, len(members), 256):
+                own, own_nodes = members[k : k + 256], nodes[k : k + 256]
+                i, j = np.nonzero(np.bitwise_count(homes[:, None] ^ own[None, :]) <= threshold)
+                differ = names[i] != own_nodes[j]
+                i, j = i[differ], j[differ]
+                if len(i):
+                    every, at = np.unique(np.concatenate([names[i], own_nodes[j]]), return_inverse=True)
+                    a, b = _tree(len(every), at[: len(i)], at[len(i) :])
+                    edges.append((every[a], every[b]))
+                    held += len(a)
+
+        for b in batches:
+            anc, prt = b.column("anchor").to_numpy(), b.column("part").to_numpy()
+            fp = b.column("fp").to_numpy()
+            node = b.column("node").to_numpy() if "node" in b.schema.names else fp
+            fp = fp.view(np.uint64)
+            own = b.column("home").to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((anc[1:] != anc[:-1]) | (prt[1:] != prt[:-1])) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(anc)], strict=True):
+                if lo == hi:
+                    continue
+                if (anc[lo], prt[lo]) != (anchor, part):
+                    anchor, part, homes, names = anc[lo], prt[lo], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                mine = own[lo:hi]
+                if mine.any():
+                    homes, names = np.concatenate([homes, fp[lo:hi][mine]]), np.concatenate([names, node[lo:hi][mine]])
+                if len(homes):
+                    linked(fp[lo:hi], node[lo:hi])
+            if held > 100_000:
+                yield flush()
+        if held:
             yield flush()
-    if held:
-        yield flush()
 
+    return compare
+
+
+def links(distinct: DataFrame, n: int, blocks: int | None = None, threshold: int = THRESHOLD) -> DataFrame:
+    """Edges (a, b) of a graph over distinct fingerprints with the components of the link graph; each edge is a link.
 
-def links(distinct: DataFrame, n: int, blocks: int | None = None) -> DataFrame:
-    """Edges (a, b) of a graph over distinct fingerprints `fp` with the components of the link graph."""
-    blocks = blocks or (4 if n <= LARGE else 2)
+    `distinct` has `fp`, or `node` (what edges are between) and `fps` (the same number of fingerprints for each node).
+    """
+    blocks = blocks or (4 if n <= LARGE else 2 if threshold < 6 else 3)
+    several = "fps" in distinct.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
-            for k in range(0, len(fp), 4096):
-                own = fp[k : k + 4096]
-                anchor, at, is_home = anchors(own, blocks)
-                yield pa.record_batch([pa.array(anchor), pa.array(own[at].view(np.int64)), pa.array(is_home)], names=["anchor", "fp", "home"])
-
-    sent = distinct.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
-    # home members are one per fingerprint and block; anchors with many are split into parts
-    homes = sent.filter("home").groupBy("anchor").agg(F.count("*").alias("n"))
-    big = [(r["anchor"], -(-r["n"] // PART)) for r in homes.filter(F.col("n") > PART).collect()]  # at most blocks * n / PART rows
-    sent = sent.withColumn("part", F.lit(0))
-    if big:
-        spark = distinct.sparkSession
-        parts = F.broadcast(spark.createDataFrame(big, "anchor long, parts int"))
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        # a home member belongs to one part, where it is compared as home; it passes all other parts as a member
-        every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), (F.col("home") & (p == mine)).alias("home")))
-        one = F.array(F.struct(F.lit(0).alias("part"), F.col("home").alias("home")))
-        sent = sent.drop("part").join(parts, "anchor", "left").select("anchor", "fp", F.explode(F.when(F.col("parts").isNull(), one).otherwise(every)).alias("x")).select("anchor", "fp", F.col("x.home").alias("home"), F.col("x.part").alias("part"))
+            for k in range(0, b.num_rows, 4096):
+                rows = b.slice(k, 4096)
+                if several:
+                    node, fps = rows.column("node"), rows.column("fps").flatten().to_numpy().reshape(rows.num_rows, -1)
+                else:
+                    node, fps = rows.column("fp"), rows.column("fp").to_numpy()[:, None]
+                for seed in range(fps.shape[1]):
+                    anchor, at, is_home = anchors(np.ascontiguousarray(fps[:, seed]).view(np.uint64), blocks, threshold)
+                    out = {"anchor": pa.array(anchor * fps.shape[1] + seed), "fp": pa.array(fps[at, seed]), "home": pa.array(is_home)}
+                    yield pa.record_batch(out | ({"node": node.take(pa.array(at))} if several else {}))
+
+    schema = "anchor long, fp long, home boolean" + ", node long" * several
+    # few tasks may hold all fingerprints, each of which becomes dozens of rows here
+    sent = distinct.select(*(("node", "fps") if several else ("fp",))).repartition(max(1, n // SPREAD_ROWS)).mapInArrow(spread, schema)
+    # home members are one per fingerprint and block; anchors with many are split into parts, by a table that stays distributed
+    crowded = sent.filter("home").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
+    parts = materialize(crowded.select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "simhash-crowded")
+    cols = [c for c in sent.columns if c != "home"]
+    mine = F.pmod(F.xxhash64(F.col("node" if several else "fp")), F.col("parts")).cast("int")
+    # a home member belongs to one part, where it is compared as home; it passes all other parts as a member
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), (F.col("home") & (p == mine)).alias("home")))
+    one = F.array(F.struct(F.lit(0).alias("part"), F.col("home").alias("home")))
+    if parts.limit(1).count():
+        sent = sent.join(parts, "anchor", "left").select(*cols, F.explode(F.when(F.col("parts").isNull(), one).otherwise(every)).alias("x")).select(*cols, F.col("x.home").alias("home"), F.col("x.part").alias("part"))
+    else:
+        sent = sent.withColumn("part", F.lit(0))
     sent = sent.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
-    return sent.mapInArrow(_compare, "a long, b long")
+    return sent.mapInArrow(_compared(threshold), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,3 +308,44 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     smallest = group.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = group.join(smallest, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def bits_apart(similarity: float, bits: int, slack: float = SLACK) -> int:
+    """Bits of `bits` in which fingerprints of sets of equal size with a Jaccard similarity differ, and `slack` standard errors more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(df: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """All rows and columns of df, in a struct `row`, and `stays`: whether the row is the one that stands for its group.
+
+    A group is what links of texts with about `similarity` of their shingles in common reach. Of a group the
+    row with the smallest doc_id stays (null ids come last, and of equal ids one row stays).
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = b.column("row").field(at).to_pylist()
+            fps = np.array([signature(t, shingle, SIGNATURE) for t in said], np.uint64).reshape(-1, SIGNATURE)
+            sent = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * SIGNATURE, pa.int32()), pa.array(fps.view(np.int64).ravel()))
+            yield pa.record_batch([b.column("row"), sent], names=["row", "fps"])
+
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("fps", T.ArrayType(T.LongType()))])
+    marked = packed.mapInArrow(run, schema)
+    rows = materialize(marked.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "fps", F.xxhash64("fps").alias("node"), F.monotonically_increasing_id().alias("place")), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
+    nodes = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps"), F.min(order).alias("low"), F.count("*").alias("n")), "simhash-nodes")
+    found = materialize(links(nodes.select("node", "fps"), nodes.count(), threshold=RADIUS).distinct(), "simhash-candidates")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"f{c}"))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    edges = found.join(side("a"), "a").join(side("b"), "b").filter(apart <= bits_apart(similarity, 64 * SIGNATURE)).select("a", "b")
+    roots = components(edges)
+    group = nodes.join(roots.withColumnRenamed("fp", "node"), "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root"))
+    first = group.groupBy("root").agg(F.min("low").alias("first"), F.sum("n").alias("size")).filter("size > 1")
+    # only groups of several rows are joined with the rows
+    chosen = group.join(first, "root").select("node", F.col("first.place").alias("first"))
+    return rows.join(chosen, "node", "left").select("row", F.coalesce(F.col("first") == F.col("place"), F.lit(True)).alias("stays"))

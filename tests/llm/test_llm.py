@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -390,6 +391,71 @@ def test_pii_redaction_and_added_kinds(spark):
     assert got[4].text is None and got[5].text == "clean"
 
 
+def test_pii_scores_and_printed_iban(spark):
+    rows = [(1, "card 4111 1111 1111 1111"), (2, "order 4111 1111 1111 1111, 4111111111111111"), (3, "iban: GB82 WEST 1234 5698 7654 32 OK"), (4, "xGB82WEST12345698765432")]
+    got = {r.doc_id: r for r in pii.digest(pii.with_spans(frame(spark, rows))).collect()}
+    assert (got[1].scores, got[2].scores) == ("0.95", "0.6,0.8")
+    assert got[3].spans == "iban:6:33" and got[4].spans == ""
+
+
+def test_pii_redaction_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["é", " ", "a@b.co", "4111111111111111", "+4111111111111111", "1.2.3.4", "-", "x"]) for _ in range(rng.randint(0, 400))) for _ in range(120)]
+    got = {r.doc_id: r for r in pii.redact(pii.with_spans(frame(spark, list(enumerate(texts))))).select("doc_id", "text", "pii_spans").collect()}
+    for i, t in enumerate(texts):
+        out, done = "", 0
+        for s in sorted(got[i].pii_spans, key=lambda s: (s.start, -s.end, s.kind)):
+            if s.start >= done:
+                out += t[done : s.start] + f"[{s.kind.upper()}]"
+            done = max(done, s.end)
+        assert got[i].text == out + t[done:]
+
+
+def test_pii_takes_time_in_proportion(spark):
+    said = [(i, "write to a.b@example.org or 1.2.3.4, " * n) for i, n in enumerate((10_000, 40_000))]
+    took = []
+    for row in (said[0], said[0], said[1]):
+        start = time.perf_counter()
+        got = pii.redact(pii.with_spans(frame(spark, [row]))).select(F.size("pii_spans").alias("n"), F.length("text").alias("len")).first()
+        took.append(time.perf_counter() - start)
+    assert got.n == 80_000 and got.len == 40_000 * len("write to [EMAIL] or [IP], ")
+    assert took[2] < 8 * took[1] + 2  # four times the text; the square would be 16
+
+
+def test_columns_may_clash(spark):
+    df = frame(spark, [(1, "bo@x.org one two"), (2, None)]).withColumns({c: F.lit("z") for c in ("t", "email_found", "ids", "k1", "k2", "said", "in_0", "n_hit", "row", "fps", "node")})
+    items = spark.createDataFrame([(7, "one two")], "item_id long, text string")
+    assert all(r.ids == r.t == r.email_found == r.in_0 == "z" for r in pii.redact(pii.with_spans(df)).collect())
+    got = decontaminate.contamination(df, items).collect()
+    assert sorted((r.doc_id, r.n_hit, r.ids, r.k1, r.said) for r in got) == [(1, 2, "z", "z", "z"), (2, 0, "z", "z", "z")]
+    left = decontaminate.clean(df, items)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [tuple(r) for r in df.filter("doc_id = 2").collect()]
+    kept = simhash.near_copies(df).select("row.*")
+    assert kept.columns == df.columns and kept.count() == 2
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(2)
+    say = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(n)]
+    rows, near, far = [], [], []
+    for i in range(150):
+        base = say(rng.randint(60, 300))
+        other = list(base)
+        for p in rng.sample(range(len(base)), max(1, len(base) * rng.randint(0, 8) // 100)):
+            other[p] = "changed" + str(rng.randint(0, 10**6))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, other))
+        (near if len(a & b) >= 0.8 * len(a | b) else far).append(i)
+    rows += [(None, rows[0][1]), (None, "nothing else"), (0, "another text with this id " * 3)]
+    got = [(r["row"].doc_id, r.stays) for r in simhash.near_copies(frame(spark, rows)).collect()]
+    stays = Counter(d for d, s in got if s)
+    assert len(got) == len(rows) and sum(not s for d, s in got if d is None) == 1 and stays[None] == 1 and stays[0] == 2
+    assert all(stays[2 * i] for i in range(150))
+    assert sum(not stays[2 * i + 1] for i in near) >= 0.9 * len(near)
+    low = [i for i in far if not stays[2 * i + 1]]
+    assert len(low) <= 0.3 * len(far)
+
+
 def test_white_space_class():
     assert (chars.classes()[[0x20, 0x85, 0x3000]] == chars.SPACE).all() and chars.classes()[0x1C] == chars.OTHER
 
