@@ -463,6 +463,15 @@ def test_white_space_class():
 # --- pipeline
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
@@ -473,13 +482,17 @@ def test_pipeline_stages(spark, tmp_path):
     base = say(80)
     texts = {1: base, 2: base, 3: say(40) + " " + item + " " + say(40), 4: say(50) + " bo@x.org", 5: None, 6: say(60), None: say(30)}
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in texts.items()], schema)
-    docs.withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(1, say(40), "en", "s", 0), (4, texts[4], "en", "s", 0)], schema))
+    docs.withColumn("extra", F.lit(1)).withColumn("row", F.lit("z")).withColumn("score", F.lit(None).cast("double")).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, out, str(tmp_path))
-        assert tuple(out.columns) == P.COLUMNS, name
-    got = {r.doc_id: r.text for r in out.collect()}
-    assert set(got) == {1, 4, 5, 6, None} and got[4].endswith(" [EMAIL]") and got[1] == base
-    assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {1, 4, 5, 6, None}
+        assert out.columns == [*docs.columns, "extra", "row", "score"], name
+    got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+    assert [d for d, _ in got] == ["1", "1", "4", "5", "6", "None"] and got[2][1].endswith(" [EMAIL]") and base in (got[0][1], got[1][1])
+    assert all((r.extra, r.row, r.score) == (1, "z", None) for r in out.collect())
+    done = P.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in done) == Counter({1: 2, 4: 1, 5: 1, 6: 1, None: 1})
+    assert all(len(r.ids) == r.n_tokens for r in done) and sum(r.n_tokens == 0 for r in done) == 1
