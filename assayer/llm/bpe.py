@@ -42,9 +42,11 @@ BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_BLANK, AFTER_SPACE, NEED_TWO, NEE
 STATES = 9
 BLOCK = 64
 #: Code points that are scanned at once; texts are cut before blanks.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Pieces of a cache generation (two are kept), longest cached piece, and from where the heap is used.
-CACHED_PIECES, CACHED_CHARS, LONG = 300_000, 64, 100
+CACHED_PIECES, CACHED_CHARS, LONG = 200_000, 64, 100
+#: Rows that are encoded and sent on at once.
+ROWS_OUT = 256
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -316,8 +318,8 @@ class _Table:
         return b"".join(out)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", tokens: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with `tokens` also ids and byte offsets.
+def encode(df: DataFrame, vocabulary: str, text: str = "text", tokens: bool = False, offsets: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with `tokens` also ids, with `offsets` also where each token begins (bytes).
 
     `vocabulary` is the path of a tiktoken rank file; its bytes (a fixed size) are broadcast.
     """
@@ -325,11 +327,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", tokens: bool = Fa
     small_batches(spark)
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, token_starts array<long>" * tokens
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * tokens + ", token_starts array<long>" * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(shared.value)
-        for b in batches:
+        for b in (whole.slice(k, ROWS_OUT) for whole in batches for k in range(0, whole.num_rows, ROWS_OUT)):
             n, ids_sha, back_sha, all_ids, all_starts = [], [], [], [], []
             for ids in codec.encode_batch([t or "" for t in b.column("t").to_pylist()]):
                 n.append(len(ids))
@@ -337,8 +339,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", tokens: bool = Fa
                 back_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if tokens:
                     all_ids.append(ids)
+                if offsets:
                     all_starts.append(codec.token_offsets(ids)[:-1])
-            more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_starts, pa.list_(pa.int64()))] if tokens else []
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "token_starts"] * tokens])
+            more = [pa.array(all_ids, pa.list_(pa.int32()))] * tokens + [pa.array(all_starts, pa.list_(pa.int64()))] * offsets
+            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * tokens, *["token_starts"] * offsets])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, schema)

@@ -117,7 +117,7 @@ def test_bpe_agrees_with_tiktoken(codec, reference, monkeypatch):
 
 
 def test_bpe_query_edges(spark):
-    got = bpe.encode(frame(spark, EDGE), vocabulary(), tokens=True).collect()
+    got = bpe.encode(frame(spark, EDGE), vocabulary(), tokens=True, offsets=True).collect()
     assert len(got) == len(EDGE)
     empty = next(r for r in got if r.doc_id == 1)
     assert (empty.n_tokens, empty.ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
