@@ -170,18 +170,17 @@ def _forest(fp: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
 
 
 def _tree(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Some of the links (a, b) that span the components of all of them."""
+    """Which of the links (a, b) between nodes 0 to n - 1 span the components, and each node's root (its component's smallest node)."""
     root = _forest(np.arange(n), [(a, b)])
     done, via = root == np.arange(n), np.full(n, -1)
     while True:
-        f, g = done[a] & ~done[b], done[b] & ~done[a]
-        child, parent = np.concatenate([b[f], a[g]]), np.concatenate([a[f], b[g]])
-        if not len(child):
+        f, g = np.flatnonzero(done[a] & ~done[b]), np.flatnonzero(done[b] & ~done[a])
+        if not len(f) and not len(g):
             break
-        via[child] = parent
+        child = np.concatenate([b[f], a[g]])
+        via[child] = np.concatenate([f, g])
         done[child] = True
-    own = np.flatnonzero(via >= 0)
-    return own, via[own]
+    return via[via >= 0], root
 
 
 def _compared(threshold: int):
@@ -189,7 +188,7 @@ def _compared(threshold: int):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = part = None
-        homes, names = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        homes, names, groups = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -200,18 +199,23 @@ def _compared(threshold: int):
             return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         def linked(members: np.ndarray, nodes: np.ndarray) -> None:
-            """Keeps links that span those between home members and members."""
-            nonlocal held
+            """Keeps links that join what isn't joined yet. groups: for each home member the smallest node that it is joined with here."""
+            nonlocal held, groups
+            order = np.argsort(names)
             for k in range(0, len(members), 256):
                 own, own_nodes = members[k : k + 256], nodes[k : k + 256]
                 i, j = np.nonzero(np.bitwise_count(homes[:, None] ^ own[None, :]) <= threshold)
-                differ = names[i] != own_nodes[j]
-                i, j = i[differ], j[differ]
+                at = order[np.minimum(np.searchsorted(names, own_nodes, sorter=order), len(names) - 1)]
+                own_groups = np.where(names[at] == own_nodes, groups[at], own_nodes)
+                apart = groups[i] != own_groups[j]
+                i, j = i[apart], j[apart]
                 if len(i):
-                    every, at = np.unique(np.concatenate([names[i], own_nodes[j]]), return_inverse=True)
-                    a, b = _tree(len(every), at[: len(i)], at[len(i) :])
-                    edges.append((every[a], every[b]))
-                    held += len(a)
+                    every, at = np.unique(np.concatenate([groups[i], own_groups[j]]), return_inverse=True)
+                    kept, root = _tree(len(every), at[: len(i)], at[len(i) :])
+                    edges.append((names[i[kept]], own_nodes[j[kept]]))
+                    held += len(kept)
+                    at = np.minimum(np.searchsorted(every, groups), len(every) - 1)
+                    groups = np.where(every[at] == groups, every[root[at]], groups)
 
         for b in batches:
             anc, prt = b.column("anchor").to_numpy(), b.column("part").to_numpy()
@@ -224,10 +228,10 @@ def _compared(threshold: int):
                 if lo == hi:
                     continue
                 if (anc[lo], prt[lo]) != (anchor, part):
-                    anchor, part, homes, names = anc[lo], prt[lo], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    anchor, part, homes, names, groups = anc[lo], prt[lo], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 mine = own[lo:hi]
                 if mine.any():
-                    homes, names = np.concatenate([homes, fp[lo:hi][mine]]), np.concatenate([names, node[lo:hi][mine]])
+                    homes, names, groups = (np.concatenate([x, new[lo:hi][mine]]) for x, new in ((homes, fp), (names, node), (groups, node)))
                 if len(homes):
                     linked(fp[lo:hi], node[lo:hi])
             if held > 100_000:
