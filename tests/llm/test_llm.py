@@ -229,7 +229,6 @@ def test_near_duplicates_edges(spark):
 def test_topk_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_BYTES", 3000)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
-    monkeypatch.setattr(topk, "FIRST_POSTINGS", 10)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(vocab[min(59, int(rng.expovariate(0.1)))] for _ in range(rng.randint(0, 40)))) for i in range(150)] + [(200, None), (None, "w1 w2")]
@@ -252,6 +251,38 @@ def test_topk_against_brute_force(spark, monkeypatch):
         assert [s for _, _, s in sorted(got.get(q, []))] == pytest.approx(want)
 
 
+@pytest.mark.parametrize(("block", "first", "step"), [(1, 1, 1), (4, 1, 1), (4, 2, 3), (64, 4, 16)])
+def test_wand_in_one_shard(monkeypatch, block, first, step):
+    for name, value in (("BLOCK", block), ("FIRST_BLOCKS", first), ("STEP", step)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(block)
+    texts = [" ".join(f"w{min(40, int(rng.expovariate(0.15)))}" for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None]
+    texts += texts[:9]  # ties
+    row = topk.Index.build(list(range(len(texts))), texts)
+    index = topk.Index.load(row, 12.0)
+    read = []
+    scored = index._scored
+    monkeypatch.setattr(index, "_scored", lambda cuts, w: read.append(len(cuts)) or scored(cuts, w))
+    skipped = 0
+    for q in range(0, 200, 7):
+        asked = topk.terms(texts[q])
+        keys = np.array([topk.key(x) for x in asked], np.uint64)
+        weight = np.array([rng.choice([0.1, 1.0, 5.0]) for _ in asked])
+        want = []
+        for d, t in enumerate(texts):
+            own = topk.terms(t)
+            s = sum(w * own[x] * 2.2 / (own[x] + 1.2 * (0.25 + 0.75 * sum(own.values()) / 12.0)) for x, w in zip(asked, weight, strict=True) if x in own)
+            if s:
+                want.append((-s, d))
+        want = sorted((round(s, 9), d) for s, d in want)[:5]
+        for least in (0.0, -want[-1][0] * 0.999 if want else 0.0):
+            read.clear()
+            ids, scores = index.search(keys, weight, 5, least)
+            assert [(round(-s, 9), d) for s, d in zip(scores.tolist(), ids.tolist(), strict=True)] == want
+        skipped += len(asked) and sum(read) < sum(index.cut_offsets[i + 1] - index.cut_offsets[i] for i in np.searchsorted(index.keys, keys).tolist())
+    assert skipped or block == 64
+
+
 # --- repeated spans
 
 
