@@ -343,7 +343,7 @@ def near_copies(df: DataFrame, text: str = "text", shingle: int = 5, similarity:
     rows = materialize(marked.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "fps", F.xxhash64("fps").alias("node"), F.monotonically_increasing_id().alias("place")), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
     nodes = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps"), F.min(order).alias("low"), F.count("*").alias("n")), "simhash-nodes")
-    found = materialize(links(nodes.select("node", "fps"), nodes.count(), threshold=RADIUS).distinct(), "simhash-candidates")
+    found = materialize(links(nodes.select("node", "fps"), nodes.count(), threshold=RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"f{c}"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     edges = found.join(side("a"), "a").join(side("b"), "b").filter(apart <= bits_apart(similarity, 64 * SIGNATURE)).select("a", "b")
