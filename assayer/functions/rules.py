@@ -21,12 +21,17 @@ def _add(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0))
 
 
+def unicode(pattern: str, any_case: bool = False) -> str:
+    """For Java: digits, blanks, word characters and word edges of all scripts, as in Python."""
+    return ("(?iU)" if any_case else "(?U)") + pattern
+
+
 def count_matches(c: Column, pats: list[str]) -> Column:
-    return _add([F.regexp_count(text0(c), F.lit(p)) for p in pats])
+    return _add([F.regexp_count(text0(c), F.lit(unicode(p))) for p in pats])
 
 
 def _documents(sentence: Column, token: str = P.DOC_TOKEN) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(sentence, P.FORM_NAME, ""), F.lit(token), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(sentence, P.FORM_NAME, ""), F.lit(unicode(token)), F.lit(0))
 
 
 def _stands_alone(sentence: Column, token: str = P.DOC_TOKEN) -> Column:
@@ -38,12 +43,12 @@ def _stands_alone(sentence: Column, token: str = P.DOC_TOKEN) -> Column:
 def document_dump(think: Column) -> Column:
     """Three or more documents in citations that stand alone, or a label line for documents."""
     alone = F.aggregate(F.transform(F.filter(sentences(think), lambda s: _stands_alone(s)), lambda s: F.size(_documents(s))), F.lit(0), lambda a, x: a + x)
-    return (alone >= 3) | text0(think).rlike(P.POLICY_LABEL)
+    return (alone >= 3) | text0(think).rlike(unicode(P.POLICY_LABEL))
 
 
 def has_rag_style(think: Column, marks: dict[str, list[str]] | None = None, dump: bool = True) -> Column:
     marks = P.RAG_STYLE if marks is None else marks
-    hit = [text0(think).rlike(("(?i)" if k in P.RAG_STYLE_ANY_CASE else "") + p) for k, ps in marks.items() for p in ps]
+    hit = [text0(think).rlike(unicode(p, k in P.RAG_STYLE_ANY_CASE)) for k, ps in marks.items() for p in ps]
     return _or([*hit, document_dump(think)] if dump else hit)
 
 
@@ -52,8 +57,29 @@ class RagSpans:
 
     A span inside a longer one of its kind is dropped: spans of a kind are scanned by
     begin and descending end, and one that ends before the furthest end so far lies inside.
+    Documents that stand alone are a kind of their own, of which LISTED are told; begin and
+    end are null where a form name was taken out of one.
     """
 
+    LISTED = 8
+
+    def listed(self, think: str) -> Iterator[tuple[int | None, int | None, str, str]]:
+        alone: list[str] = []
+        for sentence in re.split(P.SENTENCE_END, think):
+            bare = re.sub(P.FORM_NAME, "", sentence.strip())
+            docs = [m.group() for m in re.finditer(P.DOC_TOKEN, bare)]
+            if len(docs) >= 3 or not re.search(P.REASONING_WORD, bare):
+                alone += docs
+        label = re.search(P.POLICY_LABEL, think)
+        if label and not alone:
+            yield *label.span(), label.group().strip(), P.RAG_LIST_CLASS
+        elif label or len(alone) >= 3:
+            at = 0
+            for doc in alone[: self.LISTED]:
+                begin = think.find(doc, at)
+                at = begin + len(doc) if begin >= 0 else at
+                yield *((begin, at) if begin >= 0 else (None, None)), doc, P.RAG_LIST_CLASS
+
     def eval(self, think: str) -> Iterator[tuple[int, int, str, str]]:
         out = []
         for kind, pats in P.RAG_STYLE.items():
@@ -65,6 +91,7 @@ class RagSpans:
                     out.append((begin, end, think[begin:end], kind))
                     reach = end
         yield from sorted(out)
+        yield from self.listed(think or "")
 
 
 RAG_SPANS = "begin: int, end: int, text: string, kind: string"

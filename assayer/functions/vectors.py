@@ -1,10 +1,17 @@
-"""Vectors as arrays of floats, native."""
+"""Vectors as arrays of floats: native expressions, and a search of whole tables by blocks of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of query vectors that are broadcast at once.
+BLOCK_BYTES = 64 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -32,6 +39,50 @@ def drag(lengths: Column, sims: Column, theta: float = 0.86) -> Column:
     return F.struct((weighted / F.greatest(F.lit(1.0), total)).alias("drag"), (above / F.greatest(F.lit(1.0), total)).alias("copy_share"))
 
 
+def _rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix of unit rows; zero vectors stay."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=m, where=n > 0)
+
+
+def best_cosine(df: DataFrame, asked: Column, key: str, vector: str) -> DataFrame:
+    """key, best: for each row that `asked` picks the largest cosine with any other row (another key) of df.
+
+    Queries come in blocks of BLOCK_BYTES, which bounds the broadcast; each block passes once over all vectors (of one
+    length), as matrix products by batch, and each batch sends one row a query. Rows without a key or vector are left out.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).filter("k is not null and v is not null")
+    queries = df.filter(asked).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).filter("k is not null and v is not null")
+    size = queries.agg(F.sum(F.size("v").cast("long") * 8).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    out = None
+    for block in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).toArrow()  # BLOCK_BYTES
+        shared = spark.sparkContext.broadcast((own.column("k").to_numpy(), _rows(own.column("v").combine_chunks())))
+        found = rows.mapInArrow(_searcher(shared), "k long, best double")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(F.col("k").alias(key)).agg(F.max("best").alias("best"))
+
+
+def _searcher(shared):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, queries = shared.value
+        best = np.full(len(keys), -np.inf)
+        for b in batches:
+            if not b.num_rows or not len(keys):
+                continue
+            near = queries @ _rows(b.column("v")).T
+            near[keys[:, None] == b.column("k").to_numpy()[None, :]] = -np.inf
+            best = np.maximum(best, near.max(axis=1))
+        some = np.isfinite(best)
+        yield pa.record_batch([pa.array(keys[some], pa.int64()), pa.array(best[some])], names=["k", "best"])
+
+    return search
+
+
 def combine(weights: dict[str, float]) -> Column:
     """Weighted sum of named signals; null signals count as 0."""
     return sum((w * F.coalesce(F.col(k), F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))

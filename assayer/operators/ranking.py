@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of a hash that name a bucket: 4,096 buckets.
 BUCKET_DIGITS = 3
+#: Ranges of values of a numeric column.
+RANGES = 256
 
 
 def content_id(*parts: Column, digits: int = 12, sha: int = 1, sep: str = "\n") -> Column:
@@ -61,10 +63,25 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str
     return got if out else got.drop(name)
 
 
+def sum_before(df: DataFrame, col: str, n: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Adds the sum of `n` over rows with a smaller value of `col`; rows differ in (by, col), nulls come first.
+
+    Values are cut at RANGES percentiles, summed within each range, and shifted by the sums of the ranges before: no
+    task gets all values, of one key neither.
+    """
+    keys = by or []
+    cut = df.agg(F.percentile_approx(col, [i / RANGES for i in range(1, RANGES)]).alias("cut")).first()["cut"] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cut))])
+    placed = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(col))) if cut else F.lit(0))
+    before = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy(*keys, "__range").agg(F.sum(n).alias("__s")).withColumn("__off", F.coalesce(before, F.lit(0))).drop("__s")
+    inner = F.sum(n).over(Window.partitionBy(*keys, "__range").orderBy(col).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("__in", F.coalesce(inner, F.lit(0))).join(offsets, [*keys, "__range"]).withColumn(out, F.col("__in") + F.col("__off")).drop("__in", "__off", "__range")
+
+
 def average_rank(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """1-based rank with ties sharing their mean rank, from counts by value: no row is sorted twice."""
+    """1-based rank with ties sharing their mean rank, from counts by (numeric) value: no row is sorted twice."""
     keys = by or []
     counts = df.groupBy(*keys, col).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2.0).drop("__n")
+    ranks = sum_before(counts, col, "__n", "__before", keys).withColumn(out, F.col("__before") + (F.col("__n") + 1) / 2.0).drop("__n", "__before")
     return df.join(ranks, [*keys, col])

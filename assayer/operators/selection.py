@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import confident_cleaner
-from .ranking import first_by, hash_rank, top_by
+from .ranking import first_by, hash_rank, sum_before, top_by
 
 
 def best_of_k(df: DataFrame, keys: list[str], score: str, index: list[str]) -> DataFrame:
@@ -91,15 +91,15 @@ def anchors(df: DataFrame, good: Column, good_order: list[Column], bad_order: li
 
 def group_advantage(df: DataFrame, keys: list[str], reward: str, eps: float = 1e-4) -> DataFrame:
     """(r - mean) / (sd + eps) within a group; groups without spread drop out."""
-    stats = df.groupBy(*keys).agg(F.avg(reward).alias("__m"), F.stddev_samp(reward).alias("__s")).filter(F.col("__s") >= eps)
-    return df.join(stats, keys).withColumn("advantage", (F.col(reward) - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
+    group = Window.partitionBy(*keys)  # a group is the K candidates of a query
+    placed = df.withColumns({"__m": F.avg(reward).over(group), "__s": F.stddev_samp(reward).over(group)}).filter(F.col("__s") >= eps)
+    return placed.withColumn("advantage", (F.col(reward) - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
 
 
 def nearest_rank(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
     """One row: the value at place round((n - 1) p), half to even, for each p. Ranks come from counts by value."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # distinct values only
-    placed = counts.withColumn("hi", F.sum("c").over(w)).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
+    placed = sum_before(counts, value, "c", "lo").withColumn("hi", F.col("lo") + F.col("c")).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
     at = lambda p: F.bround((F.col("n") - 1) * p)
     return placed.agg(*[F.max(F.when((at(p) < F.col("hi")) & (at(p) >= F.col("hi") - F.col("c")), F.col(value))).alias(f"p{int(p * 100)}") for p in quantiles])
 

@@ -74,7 +74,7 @@ def nway_stage_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J-10")
 def near_dup_vs_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    held = turns.filter("conv_id % 10 = 0 and turn = 0").select(F.col("text").alias("held"))
+    held = turns.filter("conv_id % 10 = 0").select(F.col("text").alias("held"))
     return J.near_duplicates(turns.filter("conv_id % 10 <> 0"), held, "text", "held").select("conv_id", "turn")
 
 
@@ -82,11 +82,8 @@ def near_dup_vs_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT item_id, unnest(g) AS gram, len(g) AS m FROM w)
 SELECT a.item_id, b.item_id AS other_id, count(*) AS shared FROM e a JOIN e b ON a.gram = b.gram AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id, a.m, b.m HAVING count(*) >= 0.2 * least(a.m, b.m)""")
 def gram_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.ngrams("text", 5)).alias("g")).filter(F.size("g") > 0)
-    e = g.select("item_id", F.explode("g").alias("gram"), F.size("g").alias("m"))
-    o = e.select(F.col("item_id").alias("other_id"), "gram", F.col("m").alias("om"))
-    both = e.join(o, "gram").filter("item_id < other_id").groupBy("item_id", "other_id", "m", "om").agg(F.count("*").alias("shared"))
-    return both.filter(F.col("shared") >= 0.2 * F.least("m", "om")).select("item_id", "other_id", "shared")
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return J.gram_containment(b, b.withColumnRenamed("item_id", "other_id"), "item_id", "other_id").filter("item_id < other_id")
 
 
 @query("J-10 T-9")
@@ -95,7 +92,23 @@ def gram_containment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.gram_containment(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
 
 
-@query("A-1 A-2 A-3 X-5 X-12", f"WITH {C} SELECT pk, round(avg(CASE WHEN qty > 3 THEN qty END), 6) AS clean_score, round(coalesce(stddev_samp(CASE WHEN qty > 3 THEN qty END), 0), 6) AS sd, count(CASE WHEN qty > 3 THEN qty END) AS n FROM c GROUP BY pk")
+@query("X-5", f"WITH {C} SELECT pk, count(CASE WHEN qty > 3 THEN 1 END) AS n, coalesce(avg(CASE WHEN qty > 3 THEN qty END) >= 25, false) AND NOT bool_or(flag = 'R') AS semantic_clean FROM c GROUP BY pk")
+def semantic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean by the mean of its valid votes and by the lack of any structural trace."""
+    c = candidates(spark, sf_dir).withColumn("v", F.when(F.col("qty") > 3, F.col("qty")))
+    both = A.vote_aggregate(c, ["pk"], "v").join(c.groupBy("pk").agg(F.bool_or(F.col("flag") == "R").alias("traced")), "pk")
+    return both.select("pk", "n", (F.coalesce(F.col("clean_score") >= 25, F.lit(False)) & (F.col("n") > 0) & ~F.col("traced")).alias("semantic_clean"))
+
+
+@query("X-12", f"WITH {C}, v AS (SELECT pk, min(qty) / 50.0 AS low, avg(qty) / 50.0 AS mean FROM c GROUP BY pk), t AS (SELECT greatest(0.85, quantile_cont(low, 0.2)) AS t_pass FROM v) SELECT round(any_value(t_pass), 6) AS t_pass, count(*) AS n, count(*) FILTER (mean >= t_pass) AS n_pass FROM v, t")
+def anchor_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors by the mean and the least of their votes; the threshold is the 20th percentile of the least, 0.85 at least."""
+    v = candidates(spark, sf_dir).groupBy("pk").agg((F.min("qty") / 50.0).alias("low"), (F.avg("qty") / 50.0).alias("mean"))
+    t = v.agg(F.greatest(F.lit(0.85), F.percentile("low", 0.2)).alias("t_pass"))
+    return v.crossJoin(F.broadcast(t)).agg(r6(F.max("t_pass")).alias("t_pass"), F.count("*").alias("n"), F.count_if(F.col("mean") >= F.col("t_pass")).alias("n_pass"))  # one row
+
+
+@query("A-1 A-2 A-3", f"WITH {C} SELECT pk, round(avg(CASE WHEN qty > 3 THEN qty END), 6) AS clean_score, round(coalesce(stddev_samp(CASE WHEN qty > 3 THEN qty END), 0), 6) AS sd, count(CASE WHEN qty > 3 THEN qty END) AS n FROM c GROUP BY pk")
 def vote_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = candidates(spark, sf_dir).withColumn("v", F.when(F.col("qty") > 3, F.col("qty")))
     out = A.vote_aggregate(votes, ["pk"], "v")
@@ -354,7 +367,33 @@ def prune_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.prune(part("A"), part("R"), 4.0, 0.05).withColumn("drop", r6(F.col("drop")))
 
 
-@query("D-20 D-21 D-22 D-23 D-24", _TWO + " SELECT CASE WHEN m - p > 3 * sqrt(1.02 * 1.02 + 0.74 * 0.74 / 3) / sqrt(n) THEN 'TRUE_GAIN' WHEN m - p < -3 * sqrt(1.02 * 1.02 + 0.74 * 0.74 / 3) / sqrt(n) THEN 'REGRESSION' ELSE 'NEUTRAL' END AS verdict, m - p > 0 AS go FROM a, b")
+_SIDES = "WITH a AS (SELECT l_partkey % 7 AS stage, avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) / 5 AS m, avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) / 5 AS p, avg(CASE WHEN l_tax <= 0.04 THEN 1.0 ELSE 0.0 END) AS x, avg(CASE WHEN l_discount <= 0.06 THEN 1.0 ELSE 0.0 END) AS y FROM lineitem GROUP BY l_partkey % 7)"
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates(spark, sf_dir).withColumn("stage", F.col("pk") % 7)
+    side = lambda f: F.avg(F.when(F.col("flag") == f, F.col("qty"))) / 5
+    share = lambda ok: F.avg(ok.cast("int"))
+    return c.groupBy("stage").agg(side("A").alias("m"), side("R").alias("p"), share(F.col("tax") <= 0.04).alias("x"), share(F.col("pen") <= 0.06).alias("y"))
+
+
+@query("D-22", _SIDES + " SELECT stage, round(m - p, 6) AS gain, m - p >= 0.04 AS goodhart FROM a")
+def goodhart_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gain = F.col("m") - F.col("p")
+    return _sides(spark, sf_dir).select("stage", r6(gain).alias("gain"), D.goodhart(gain).alias("goodhart"))
+
+
+@query("D-23", _SIDES + " SELECT stage, CASE WHEN m - p >= 0.05 AND x - y >= -0.01 THEN 'GO' ELSE 'NO_GO' END AS verdict FROM a")
+def rewrite_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sides(spark, sf_dir).select("stage", D.rewrite_ceiling(F.col("m") - F.col("p"), F.col("x") - F.col("y")).alias("verdict"))
+
+
+@query("D-24", _SIDES + " SELECT stage, CASE WHEN x >= 0.60 THEN 'SELF_SAMPLING' WHEN x >= 0.45 OR y >= 0.60 THEN 'MIXED' ELSE 'REWRITE_OR_STOP' END AS verdict FROM a")
+def headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sides(spark, sf_dir).select("stage", D.headroom_verdict(F.col("x"), F.col("y")).alias("verdict"))
+
+
+@query("D-20 D-21", _TWO + " SELECT CASE WHEN m - p > 3 * sqrt(1.02 * 1.02 + 0.74 * 0.74 / 3) / sqrt(n) THEN 'TRUE_GAIN' WHEN m - p < -3 * sqrt(1.02 * 1.02 + 0.74 * 0.74 / 3) / sqrt(n) THEN 'REGRESSION' ELSE 'NEUTRAL' END AS verdict, m - p > 0 AS go FROM a, b")
 def stage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
     part = lambda f, m: c.filter(F.col("flag") == f).agg((F.avg("qty") / 5).alias(m), F.count("*").alias(f"n_{m}"))
@@ -416,9 +455,9 @@ def stage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(stages, spark.createDataFrame([("en", 100), ("de", 100), ("zh", 100)], "stage string, n_expected int"))
 
 
-@query("§2.10", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), r AS (SELECT v FROM e WHERE vec_id < 16)
-SELECT vec_id, round(max(list_dot_product(e.v, r.v) / sqrt(list_dot_product(e.v, e.v)) / sqrt(list_dot_product(r.v, r.v))), 6) AS best FROM e, r GROUP BY vec_id""")
+@query("§2.10", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT q.vec_id, round(max(list_dot_product(q.v, r.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(r.v, r.v))), 6) AS best FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id""")
 def cosine_max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", vectors.normalise(F.col("embedding")).alias("v"))
-    refs = F.broadcast(e.filter("vec_id < 16").select(F.col("v").alias("r")))  # 16 rows
-    return e.crossJoin(refs).groupBy("vec_id").agg(r6(F.max(vectors.dot(F.col("v"), F.col("r")))).alias("best"))
+    """Every twentieth vector against all others."""
+    best = vectors.best_cosine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding")
+    return best.withColumn("best", r6(F.col("best")))

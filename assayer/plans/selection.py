@@ -183,12 +183,11 @@ def merge_priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_by_priority([a, b], "h", [F.col("id")]).select("h", "source_rank", "id")
 
 
-@query("R-7", """WITH u AS (SELECT conv_id, turn, regexp_replace(trim(text[1:20]), '^\\s+|\\s+$', '', 'g') AS x FROM conversations),
+@query("R-7", """WITH u AS (SELECT conv_id, turn, regexp_replace(trim(text), '^\\s+|\\s+$', '', 'g') AS x FROM conversations),
 f AS (SELECT conv_id, x, min(turn) AS t FROM u WHERE x <> '' GROUP BY conv_id, x) SELECT conv_id, string_agg(x, '|' ORDER BY t) AS pool FROM f GROUP BY conv_id""")
 def ordered_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-
-    heads = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.substring("text", 1, 20)).alias("x"))
-    got = heads.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "x"))).alias("a"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("x"))
+    got = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "x"))).alias("a"))
     return got.select("conv_id", F.array_join(R.clean_array(F.transform("a", lambda s: s["x"])), "|").alias("pool"))
 
 

@@ -9,6 +9,7 @@ from ..functions import facts, judge, patterns as P, rules, vectors
 from ..functions import text as X
 from ..functions.registry import HashScorer
 from ..sources import html, packaging, tables
+from ..sources.shared import shared_path
 from .base import long, query, r6, table
 
 #: Turns as replies with tags; every fifth is cut off while thinking, every seventh lacks answer tags.
@@ -58,17 +59,16 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", long(F.size(X.sentences("text"))).alias("n_sentences"))
 
 
-_HEAD = r"regexp_replace(substr(text, 1, 3000), '\s+', '', 'g')"
+_COMPACT = r"regexp_replace(text, '\s+', '', 'g')"
 
 
 def _gram_sql(n: int) -> str:
     return f"CASE WHEN length(t) >= {n} THEN list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n})) ELSE [] END"
 
 
-@query("T-9 T-10 T-11 T-16", f"""WITH d AS (SELECT doc_id, {_HEAD} AS t FROM documents), g AS (SELECT doc_id, length(t) AS compact_len, {_gram_sql(2)} AS two, {_gram_sql(8)} AS eight FROM d)
+@query("T-9 T-10 T-11 T-16", f"""WITH d AS (SELECT doc_id, {_COMPACT} AS t FROM documents), g AS (SELECT doc_id, length(t) AS compact_len, {_gram_sql(2)} AS two, {_gram_sql(8)} AS eight FROM d)
 SELECT doc_id, compact_len, round(CASE WHEN len(two) = 0 THEN 0.0 ELSE len(list_distinct(two)) / len(two) END, 6) AS distinct2, coalesce(list_max(map_values(list_histogram(eight))), 0)::BIGINT AS max_8gram FROM g""")
 def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # over the whole text, as the reference; the SQL looks at the first 3,000 characters only
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", long(X.compact_length(F.col("text"))).alias("compact_len"), r6(X.distinct2("text")).alias("distinct2"), long(X.max_repeat(X.ngrams("text", 8))).alias("max_8gram"))
 
@@ -79,7 +79,7 @@ def degeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", r6(F.col("d.short_ratio")).alias("short_ratio"), long("d.max_8gram").alias("max_8gram"), long("d.max_sentence").alias("max_sentence"), "d.soft", "d.extreme")
 
 
-@query("T-14 T-15", f"""WITH d AS (SELECT doc_id, {_HEAD} AS t, text FROM documents), g AS (SELECT *, coalesce(list_max(map_values(list_histogram({_gram_sql(8)}))), 0) AS a, coalesce(list_max(map_values(list_histogram({_gram_sql(12)}))), 0) AS b, coalesce(list_max(map_values(list_histogram({_gram_sql(20)}))), 0) AS c FROM d)
+@query("T-14 T-15", f"""WITH d AS (SELECT doc_id, {_COMPACT} AS t, text FROM documents), g AS (SELECT *, coalesce(list_max(map_values(list_histogram({_gram_sql(8)}))), 0) AS a, coalesce(list_max(map_values(list_histogram({_gram_sql(12)}))), 0) AS b, coalesce(list_max(map_values(list_histogram({_gram_sql(20)}))), 0) AS c FROM d)
 SELECT doc_id, round(CASE WHEN length(t) < 80 THEN 0 ELSE least(0.8, CASE WHEN a >= 5 THEN 0.35 ELSE 0 END + CASE WHEN b >= 4 THEN 0.35 ELSE 0 END + CASE WHEN c >= 3 THEN 0.25 ELSE 0 END) END::DOUBLE, 6) AS repeat_penalty,
 round(CASE WHEN n <= 2200 THEN 0 ELSE least(0.6, (n - 2200) / 1000.0 * 0.3) END::DOUBLE, 6) AS length_penalty FROM (SELECT *, length({_STRIP.format(x='text')}) AS n FROM g)""")
 def repeat_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def answer_pool_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G-3 G-4 G-5 G-6 G-7 G-8 G-9 G-10 G-11 G-12")
 def candidate_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _replies(spark, sf_dir).filter("role = 'assistant'").withColumn("gold", F.col("role")).withColumn("prompt", F.concat(F.lit(P.REFERENCES_HEAD), F.substring("text", 1, 200), F.lit(P.QUESTION_HEAD)))
+    r = _replies(spark, sf_dir).filter("role = 'assistant'").withColumn("gold", F.col("role")).withColumn("prompt", F.concat(F.lit(P.REFERENCES_HEAD), F.col("text"), F.lit(P.QUESTION_HEAD)))
     f = rules.candidate_features(r.select("conv_id", "turn", "reply", "prompt", "gold"), "reply", "prompt", "gold")
     c = F.col
     reward = rules.derag_reward(c("format_ok"), c("degen.extreme"), c("fact_recall"), F.size("introduced_nums"), c("grounding_floor_ok"), c("copy_ratio"), c("img_trace"), c("counts.explicit_ref"), c("counts.ref_enumeration"), c("standalone"), c("citation_density"), c("masked_copy"))
@@ -295,10 +295,10 @@ def segment_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", long(F.size(F.filter(w, lambda x: x < 0.05))).alias("n_low"))
 
 
-@query("X-26", "SELECT event_id AS step, value FROM events WHERE value IS NOT NULL AND event_id < 500")
+@query("X-26", "SELECT event_id AS step, value FROM events WHERE value IS NOT NULL")
 def training_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.create_map(F.lit("step"), F.col("event_id").cast("string"), F.lit("loss"), F.col("value").cast("string"), F.lit("note"), F.lit("n/a"))
-    e = table(spark, sf_dir, "events").filter("event_id < 500").select(F.array(s).alias("log_history"))
+    e = table(spark, sf_dir, "events").select(F.array(s).alias("log_history"))
     return tables.training_log(e).select("step", "value")
 
 
@@ -321,11 +321,16 @@ def rewrite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(*agg).withColumn("grp", F.lit("all")).unionByName(f.groupBy(F.col("lang").alias("grp")).agg(*agg))
 
 
-@query("§2.10 (drag)", "SELECT vec_id, round((1 * embedding[1]::DOUBLE + 2 * embedding[2]::DOUBLE) / 3, 6) AS drag, round((CASE WHEN embedding[1]::DOUBLE >= 0.05 THEN 1 ELSE 0 END + CASE WHEN embedding[2]::DOUBLE >= 0.05 THEN 2 ELSE 0 END) / 3.0, 6) AS copy_share FROM embeddings")
+@query("§2.10 (drag)", """WITH e AS (SELECT vec_id // 5 AS reply, vec_id % 5 AS place, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT e.reply, e.place AS len, list_dot_product(e.v, r.v) / sqrt(list_dot_product(e.v, e.v)) / sqrt(list_dot_product(r.v, r.v)) AS sim FROM e JOIN e r ON e.reply = r.reply AND r.place = 0 WHERE e.place > 0)
+SELECT reply, round(sum(len * sim) / greatest(1, sum(len)), 6) AS drag, round(sum(CASE WHEN sim >= 0.05 THEN len ELSE 0 END) / greatest(1.0, sum(len)), 6) AS copy_share FROM s GROUP BY reply""")
 def drag_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sims = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
-    e = table(spark, sf_dir, "embeddings").withColumn("d", vectors.drag(F.array(F.lit(1.0), F.lit(2.0)), sims, 0.05))
-    return e.select("vec_id", r6(F.col("d.drag")).alias("drag"), r6(F.col("d.copy_share")).alias("copy_share"))
+    """Five vectors a reply: its reference and four sentences, as long as their place says."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("reply"), (F.col("vec_id") % 5).alias("place"), vectors.normalise(F.col("embedding")).alias("v"))
+    s = e.filter("place > 0").join(e.filter("place = 0").select("reply", F.col("v").alias("ref")), "reply").select("reply", "place", vectors.dot(F.col("v"), F.col("ref")).alias("sim"))
+    d = s.groupBy("reply").agg(F.array_sort(F.collect_list(F.struct("place", "sim"))).alias("s"))  # four sentences
+    d = d.withColumn("d", vectors.drag(F.transform("s", lambda x: x["place"].cast("double")), F.transform("s", lambda x: x["sim"]), 0.05))
+    return d.select("reply", r6(F.col("d.drag")).alias("drag"), r6(F.col("d.copy_share")).alias("copy_share"))
 
 
 @query("I-6", "SELECT arg_max(event_type, event_id) AS line FROM events WHERE event_type LIKE 'p%'")
@@ -336,41 +341,30 @@ def latest_log_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("I-1 I-7 I-8 S-4 S-5 (stream)", "SELECT event_type, count(*) AS n, count(*) FILTER (value >= 50) AS n_ok FROM events GROUP BY event_type")
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts from a resumable stream in file batches."""
-    import uuid
-
     from ..streaming.progress import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/assayer-stream"
-    here = f"{base}/progress-{uuid.uuid4().hex[:12]}"
+    here = shared_path(spark, "progress")
     schema = table(spark, sf_dir, "events").schema
     out = run_available(spark, f"{sf_dir}/events.parquet", schema, lambda d: d.select("event_id", "event_type", (F.col("value") >= 50).alias("ok")), f"{here}/out", f"{here}/checkpoint")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/assayer-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("S-1 S-3 S-4", "SELECT item_id, text FROM benchmark")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "jsonl")
+    path = shared_path(spark, "jsonl")
     tables.write_jsonl(table(spark, sf_dir, "benchmark"), path)
     return tables.read_jsonl(spark, path, "item_id long, text string", mode="strict")
 
 
 @query("S-6 S-7", "SELECT DISTINCT trim(p_brand) AS brand, trim(p_type) AS kind FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
 def sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, p = _scratch(spark, "sheet"), table(spark, sf_dir, "part")
+    path, p = shared_path(spark, "sheet"), table(spark, sf_dir, "part")
     p.select(F.concat(F.lit(" "), "p_brand").alias("brand"), F.col("p_type").alias("kind")).write.option("header", True).csv(path)
     first = p.agg(F.min("p_brand").alias("b")).first()["b"]
     return tables.read_table(spark, path, keep=f"brand={first}", required=("brand", "kind"))
 
 
-@query("W-21", """WITH s AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_id < 1000),
+@query("W-21", """WITH s AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events),
 k AS (SELECT event_id, value FROM s WHERE i % CAST(ceil(n / 60.0) AS BIGINT) = 0), e AS (SELECT min(value) AS lo, max(value) AS hi FROM k)
 SELECT event_id, value, CAST(least(7, floor((value - lo) / (hi - lo) * 8)) AS INT) AS level FROM k, e""")
 def downsampled_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import plans
+from assayer.functions import patterns, rules, vectors
+from assayer.operators import joins, ranking
 
 
 def most(s, n):
@@ -55,22 +57,6 @@ def test_series_is_sampled_to_its_end(spark, tmp_path):
     assert got == [(k, v, min(7, int(v / top * 8))) for k, v in kept]
 
 
-def test_chat_parts_are_contiguous_and_complete(spark, monkeypatch):
-    chat = pytest.importorskip("assayer.llm.chat")
-    monkeypatch.setattr(chat, "PART_TURNS", 4)
-    rows = [(None, 0, "ann" if i < 2 else "bob", f"t{i:02}") for i in range(30)] + [(1, t, ("ann", "bob", "system")[min(t, 1) + (t == 7)], f"u{t:02}") for t in range(11)]
-    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
-    for conv in (None, 1):
-        mine = [(r[1], r[2], r[3]) for r in rows if r[0] == conv]
-        mine.sort()
-        parts = [mine[k : k + 4] for k in range(0, len(mine), 4)]
-        assert {(r.part, r.speaker) for r in got if r.conv_id == conv} == {(k, s) for k in range(len(parts)) for s in ("ann", "bob")}
-        for r in (r for r in got if r.conv_id == conv):
-            heads = ["assistant" if s == r.speaker else "system" if s == "system" else f"user name={s}" for _, s, _ in parts[r.part]]
-            assert r.text == "".join(f"<|im_start|>{h}\n{t}<|im_end|>\n" for h, (_, _, t) in zip(heads, parts[r.part], strict=True))
-            assert r.n_masked == heads.count("assistant")
-
-
 def test_gram_containment_of_documents(spark, tmp_path):
     import random
 
@@ -91,3 +77,64 @@ def test_gram_containment_of_documents(spark, tmp_path):
     got = [tuple(r) for r in plans.queries()["gram_containment_documents"](spark, str(tmp_path)).collect()]
     assert want and any(d is None for d, _, _ in want)
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_near_duplicates_miss_nothing(spark):
+    import difflib
+    import random
+
+    rng = random.Random(12)
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 5))):
+            k = rng.randrange(len(t) + 1)
+            t[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "é", " "])
+        return "".join(t)
+
+    held = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in [1, 2, 3, 4, 5, 7, 9, 12, 14, 20, 24, 30, 60, 150, 260, 700]] + ["", None]
+    rows = [(i, changed(t or "")) for i, t in enumerate(held * 25)] + [(None, held[5]), (1000, None), (1001, "abcXefg"), (1002, "z" * 3100 + held[12])]
+    held += ["abcdefg", "z" * 3100 + held[13]]
+    a, b = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(t,) for t in held], "held string")
+    got = sorted((r.id if r.id is not None else -1) for r in joins.near_duplicates(a, b, "text", "held").collect())
+    want = sorted((i if i is not None else -1) for i, t in rows if t and any(k and difflib.SequenceMatcher(None, k, t).ratio() >= 0.85 for k in held))
+    assert got == want and 1001 in got and -1 in got
+
+
+def test_sum_before_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGES", 5)
+    rows = [(k, float(v) if v else None, n) for k in ("a", "b") for v, n in ((0, 2), (1, 1), (2.5, 4), (3, 1), (9, 7), (100, 1), (1e9, 3))]
+    got = ranking.sum_before(spark.createDataFrame(rows, "k string, v double, n long"), "v", "n", "before", ["k"]).collect()
+    assert {(r.k, r.v): r.before for r in got} == {(k, v): sum(m for j, w, m in rows if j == k and (w or 0) < (v or 0)) for k, v, _ in rows}
+
+
+def test_best_cosine_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 100)
+    v = np.random.default_rng(1).normal(size=(60, 4))
+    v[7] = 0
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 4), (61, None)]
+    got = {r.id: r.best for r in vectors.best_cosine(spark.createDataFrame(rows, "id long, v array<double>").repartition(3), F.col("id") % 5 == 0, "id", "v").collect()}
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -1)
+    assert {k: pytest.approx(near[k].max()) for k in range(0, 60, 5)} == got
+
+
+def test_unicode_classes_agree_with_python(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["\u3000政策依据：甲", "政策依据:", "\n", "问题１：", "问题 12 ：", "问答对\u3000３", "回答\u00a0:", "《税法》第１条", "《乙》", "《丙表》", "，", "。", "按照", "财税〔２０２０〕 12 号", "<IMG src", "x.PNG", "其他"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.has_rag_style(F.col("t")).alias("flag")).collect()
+    differ = [(r.t, r.flag) for r in rows if r.flag != bool(list(rules.RagSpans().eval(r.t)))]
+    assert not differ and {True, False} == {r.flag for r in rows}
+
+
+def test_listed_documents():
+    think = "《甲法》、《乙法》、《丙法》。按照《丁法》处理。"
+    own = [s for s in rules.RagSpans().eval(think) if s[3] == patterns.RAG_LIST_CLASS]
+    assert [s[2] for s in own] == ["《甲法》", "《乙法》", "《丙法》"] and all(think[b:e] == t for b, e, t, _ in own)
+    assert [s[2] for s in rules.RagSpans().eval("政策依据：")] == ["政策依据："]
