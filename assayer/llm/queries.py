@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from . import bpe, chat, decontaminate, langid, pii, simhash, spans, topk, toxicity, warc
-from .common import load, shared_path
+from .common import load
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -137,16 +138,17 @@ FROM p LEFT JOIN f USING (d)
 """
 
 OP5_SQL = r"""
-WITH t AS (SELECT conv_id, turn // 256 AS part, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
-who AS (SELECT DISTINCT conv_id, part, speaker AS me FROM t WHERE speaker <> 'system'),
-l AS (SELECT conv_id, part, me, turn, speaker, body,
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
+t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) - 1) // 256 AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) AS place FROM c),
+who AS (SELECT DISTINCT conv_id, speaker AS me FROM t WHERE speaker <> 'system'),
+l AS (SELECT t.conv_id, part, me, place, speaker, body,
         '<|im_start|>' || CASE WHEN speaker = me THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
-      FROM t JOIN who USING (conv_id, part)),
+      FROM t JOIN who ON t.conv_id IS NOT DISTINCT FROM who.conv_id),
 s AS (SELECT *, length(head) + length(body) + 11 AS size FROM l),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, part, me ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM s)
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, part, me ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM s)
 SELECT conv_id, part, me AS speaker, count(*) AS n_turns, count(*) FILTER (speaker = me) AS n_masked,
-  string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY turn, speaker, body) AS text,
-  string_agg(pos || '-' || (pos + length(body) + 10), ',' ORDER BY turn, speaker, body) FILTER (speaker = me) AS mask
+  string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY place) AS text,
+  coalesce(string_agg(pos || '-' || (pos + length(body) + 10), ',' ORDER BY place) FILTER (speaker = me), '') AS mask
 FROM o GROUP BY conv_id, part, me
 """
 

@@ -174,6 +174,37 @@ def test_chat_crowded_turn(spark, monkeypatch):
     assert out.agg(F.sum("n_masked")).first()[0] == 61 and out.agg(F.max("n_turns")).first()[0] < 30
 
 
+def test_chat_parts_are_contiguous_and_complete(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 4)
+    rows = [(None, 0, "ann" if i < 2 else "bob", f"t{i:02}") for i in range(30)] + [(1, t, ("ann", "bob", "system")[min(t, 1) + (t == 7)], f"u{t:02}") for t in range(11)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    for conv in (None, 1):
+        mine = [(r[1], r[2], r[3]) for r in rows if r[0] == conv]
+        mine.sort()
+        parts = [mine[k : k + 4] for k in range(0, len(mine), 4)]
+        assert {(r.part, r.speaker) for r in got if r.conv_id == conv} == {(k, s) for k in range(len(parts)) for s in ("ann", "bob")}
+        for r in (r for r in got if r.conv_id == conv):
+            heads = ["assistant" if s == r.speaker else "system" if s == "system" else f"user name={s}" for _, s, _ in parts[r.part]]
+            assert r.text == "".join(f"<|im_start|>{h}\n{t}<|im_end|>\n" for h, (_, _, t) in zip(heads, parts[r.part], strict=True))
+            assert r.n_masked == heads.count("assistant")
+
+
+def test_chat_agrees_with_sql(spark, tmp_path):
+    import duckdb
+
+    from assayer.llm import queries
+
+    rows = [(1, t, ("ann", "bob", "system", None)[t % 4 if t < 100 else 0], f"t{t}") for t in range(600)] + [(None, None, "ann", f"n{t % 7}") for t in range(300)] + [(2, 0, "system", "alone"), (3, 1, "x", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op5_chat(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.OP5_SQL).fetchall()
+    names = [d[0] for d in con.description]
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert len({(r[0], r[1]) for r in want}) == 3 + 2 + 1
+
+
 # --- SimHash
 
 
