@@ -16,7 +16,6 @@ the input beside the text play no part.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,10 @@ SMOOTHING = 0.5
 ROWS_PER_LANGUAGE = 4000
 #: Code points that are hashed at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
+#: Grams of a batch that are scored at once.
+GRAMS = 1 << 19
+#: Languages that may be learned: with as many the broadcast matrix has 256 MB.
+MOST_LANGUAGES = 1000
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -79,9 +82,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(df: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows of each language at most, drawn by a hash of the text and id: the same rows on every run."""
-    drawn = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    share = {r["lang"]: min(1.0, rows / r["n"]) for r in df.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """About `rows` rows of each language, drawn by a hash of the text and (where there is one) doc_id: the same rows on every run."""
+    drawn = F.pmod(F.xxhash64("text", *[c for c in ("doc_id",) if c in df.columns], F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    share = {r["lang"]: min(1.0, rows / r["n"]) for r in df.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(share) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if all(v >= 1 for v in share.values()):
         return df
     keep = F.lit(False)
@@ -96,8 +101,8 @@ def fit(df: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list
     The sample is bounded by `rows_per_language` rows (in expectation) per language.
     """
     small_batches(df.sparkSession)
-    known = df.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = sample(known, rows_per_language).mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    known = df.select("text", "lang", *[c for c in ("doc_id",) if c in df.columns]).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counted = sample(known, rows_per_language).select("text", "lang").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     m = np.full((len(langs), 1 << HASH_BITS), SMOOTHING)
     if len(langs):
@@ -106,23 +111,41 @@ def fit(df: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list
 
 
 def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
-    """Prediction and posterior of each text; prior uniform over the languages."""
-    pred, prob = [], []
-    for text in texts:
-        total = np.zeros(len(langs))
-        seen = 0
+    """Prediction and posterior of each text; prior uniform over the languages.
+
+    A batch is a sparse matrix of texts by grams: the grams' rows of the matrix are picked for GRAMS grams at a time,
+    summed by text between its bounds, and added to what a text that goes on has so far.
+    """
+    total = np.zeros((len(texts), len(langs)))
+    seen = np.zeros(len(texts), np.int64)
+    rows = np.ascontiguousarray(logp.T)
+    held: list[np.ndarray] = []
+    of: list[int] = []
+
+    def add() -> None:
+        n = np.array([len(h) for h in held])
+        np.add.at(total, of, np.add.reduceat(rows[np.concatenate(held)], np.cumsum(n) - n, axis=0, dtype=np.float64))
+        held.clear()
+        of.clear()
+
+    size = 0
+    for i, text in enumerate(texts) if len(langs) else ():
         for h in grams(text or ""):
-            seen += len(h)
-            for k in range(len(langs)):
-                total[k] += logp[k][h].sum(dtype=np.float64)
-        if not seen or not langs:
-            pred.append("und")
-            prob.append(0.0)
-            continue
-        best = int(np.argmax(total))
-        pred.append(langs[best])
-        prob.append(1.0 / math.fsum(np.exp(total - total[best])))
-    return pred, prob
+            if len(h):
+                held.append(h)
+                of.append(i)
+                seen[i] += len(h)
+                size += len(h)
+            if size >= GRAMS:
+                add()
+                size = 0
+    if held:
+        add()
+    if not len(langs):
+        return ["und"] * len(texts), [0.0] * len(texts)
+    best = total.argmax(axis=1)
+    prob = 1.0 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)
+    return [langs[k] if n else "und" for k, n in zip(best.tolist(), seen.tolist(), strict=True)], np.where(seen > 0, prob, 0.0).tolist()
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[Column] | None = None) -> DataFrame:

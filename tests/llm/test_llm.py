@@ -38,6 +38,22 @@ def test_langid(spark):
     assert langid.predict(asked, empty).filter("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 19])
+def test_langid_against_brute_force(monkeypatch, at_once):
+    monkeypatch.setattr(langid, "GRAMS", at_once)
+    rng = random.Random(1)
+    langs, logp = ["de", "en", "fr"], np.log(np.random.default_rng(2).dirichlet(np.ones(1 << langid.HASH_BITS) * 0.3 + 1e-3, 3) + 1e-9).astype(np.float32)
+    texts = ["".join(rng.choice("abé dE1,") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "12", "ß" * 3000]
+    pred, prob = langid.score_texts(texts, langs, logp)
+    for t, own, p in zip(texts, pred, prob, strict=True):
+        found = [g for h in langid.grams(t or "") for g in h.tolist()]
+        if not found:
+            assert (own, p) == ("und", 0.0)
+            continue
+        sums = [sum(float(logp[k][g]) for g in found) for k in range(3)]
+        assert own == langs[int(np.argmax(sums))] and p == pytest.approx(1 / sum(np.exp(s - max(sums)) for s in sums))
+
+
 def test_langid_pieces_agree(monkeypatch):
     text = "Überall der Hund, 12 und die Katze! " * 50
     whole = Counter(np.concatenate(list(langid.grams(text))).tolist())
