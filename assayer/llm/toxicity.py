@@ -39,7 +39,7 @@ from .common import materialize, small_batches
 #: Bounds of the fitting sample, in expected rows.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 #: A feature of the lexicon has such log-odds, and its support would arise by chance with this probability at most.
-LOG_ODDS, CHANCE = 4.0, 1e-7
+LOG_ODDS, CHANCE = 4.0, 1e-3
 SAME_SUPPORT = 0.85
 CANDIDATES = 20_000
 PREFIXES = (3, 4, 5, 6)
