@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_path
 
 #: Bounds of an Arrow batch for Python stages over whole texts.
-TEXT_ROWS_PER_BATCH = 2048
-TEXT_BYTES_PER_BATCH = 8 << 20
+TEXT_ROWS_PER_BATCH = 1024
+TEXT_BYTES_PER_BATCH = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -188,7 +188,7 @@ def _compared(threshold: int):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = part = None
-        homes, names, first, groups = none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        homes, names, groups = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -198,18 +198,15 @@ def _compared(threshold: int):
             edges, held = [], 0
             return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        def linked(members: np.ndarray, nodes: np.ndarray, known: np.ndarray) -> None:
-            """Keeps links that join what isn't joined yet.
-
-            known and first: what a member and a home member were joined with before; groups: what home members are joined with now.
-            """
+        def linked(members: np.ndarray, nodes: np.ndarray) -> None:
+            """Keeps links that join what isn't joined yet. groups: for each home member the smallest node that it is joined with here."""
             nonlocal held, groups
-            order = np.argsort(first)
+            order = np.argsort(names)
             for k in range(0, len(members), 256):
-                own, own_nodes, own_groups = members[k : k + 256], nodes[k : k + 256], known[k : k + 256]
+                own, own_nodes = members[k : k + 256], nodes[k : k + 256]
                 i, j = np.nonzero(np.bitwise_count(homes[:, None] ^ own[None, :]) <= threshold)
-                at = order[np.minimum(np.searchsorted(first, own_groups, sorter=order), len(first) - 1)]
-                own_groups = np.where(first[at] == own_groups, groups[at], own_groups)
+                at = order[np.minimum(np.searchsorted(names, own_nodes, sorter=order), len(names) - 1)]
+                own_groups = np.where(names[at] == own_nodes, groups[at], own_nodes)
                 apart = groups[i] != own_groups[j]
                 i, j = i[apart], j[apart]
                 if len(i):
@@ -224,7 +221,6 @@ def _compared(threshold: int):
             anc, prt = b.column("anchor").to_numpy(), b.column("part").to_numpy()
             fp = b.column("fp").to_numpy()
             node = b.column("node").to_numpy() if "node" in b.schema.names else fp
-            known = b.column("joined").to_numpy() if "joined" in b.schema.names else node
             fp = fp.view(np.uint64)
             own = b.column("home").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((anc[1:] != anc[:-1]) | (prt[1:] != prt[:-1])) + 1
@@ -232,12 +228,12 @@ def _compared(threshold: int):
                 if lo == hi:
                     continue
                 if (anc[lo], prt[lo]) != (anchor, part):
-                    anchor, part, (homes, names, first, groups) = anc[lo], prt[lo], none
+                    anchor, part, homes, names, groups = anc[lo], prt[lo], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 mine = own[lo:hi]
                 if mine.any():
-                    homes, names, first, groups = (np.concatenate([x, new[lo:hi][mine]]) for x, new in ((homes, fp), (names, node), (first, known), (groups, known)))
+                    homes, names, groups = (np.concatenate([x, new[lo:hi][mine]]) for x, new in ((homes, fp), (names, node), (groups, node)))
                 if len(homes):
-                    linked(fp[lo:hi], node[lo:hi], known[lo:hi])
+                    linked(fp[lo:hi], node[lo:hi])
             if held > 100_000:
                 yield flush()
         if held:
@@ -249,25 +245,27 @@ def _compared(threshold: int):
 def links(distinct: DataFrame, n: int, blocks: int | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """Edges (a, b) of a graph over distinct fingerprints with the components of the link graph; each edge is a link.
 
-    `distinct` has `fp`, or `node` (what edges are between) and `fps` (the same number of fingerprints for each node),
-    and then perhaps `joined`: nodes that have it in common need no links to each other.
+    `distinct` has `fp`, or `node` (what edges are between) and `fps` (the same number of fingerprints for each node).
     """
     blocks = blocks or (4 if n <= LARGE else 2 if threshold < 6 else 3)
-    several, named = "fps" in distinct.columns, [c for c in ("node", "joined") if c in distinct.columns]
+    several = "fps" in distinct.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 rows = b.slice(k, 4096)
-                fps = rows.column("fps").flatten().to_numpy().reshape(rows.num_rows, -1) if several else rows.column("fp").to_numpy()[:, None]
+                if several:
+                    node, fps = rows.column("node"), rows.column("fps").flatten().to_numpy().reshape(rows.num_rows, -1)
+                else:
+                    node, fps = rows.column("fp"), rows.column("fp").to_numpy()[:, None]
                 for seed in range(fps.shape[1]):
                     anchor, at, is_home = anchors(np.ascontiguousarray(fps[:, seed]).view(np.uint64), blocks, threshold)
                     out = {"anchor": pa.array(anchor * fps.shape[1] + seed), "fp": pa.array(fps[at, seed]), "home": pa.array(is_home)}
-                    yield pa.record_batch(out | {c: rows.column(c).take(pa.array(at)) for c in named})
+                    yield pa.record_batch(out | ({"node": node.take(pa.array(at))} if several else {}))
 
-    schema = "anchor long, fp long, home boolean" + "".join(f", {c} long" for c in named)
+    schema = "anchor long, fp long, home boolean" + ", node long" * several
     # few tasks may hold all fingerprints, each of which becomes dozens of rows here
-    sent = distinct.select(*named, "fps" if several else "fp").repartition(max(1, n // SPREAD_ROWS)).mapInArrow(spread, schema)
+    sent = distinct.select(*(("node", "fps") if several else ("fp",))).repartition(max(1, n // SPREAD_ROWS)).mapInArrow(spread, schema)
     # home members are one per fingerprint and block; anchors with many are split into parts, by a table that stays distributed
     crowded = sent.filter("home").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
     parts = materialize(crowded.select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "simhash-crowded")
@@ -287,21 +285,26 @@ def links(distinct: DataFrame, n: int, blocks: int | None = None, threshold: int
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for each node of an edge list; root is the smallest node reachable.
 
-    Alternates hooking to the smallest neighbouring root and halving of paths; every
-    round is written to the shared folder. Joins are on nodes with plain equality, so
-    that adaptive execution can split hot ones.
+    Each node points at its smallest neighbour, paths are halved until they end at a node that points at itself, and
+    the graph of these ends is what is left to join: edges within a group go, so each round has fewer. Every step is
+    written to the shared folder. Joins are on nodes with plain equality, so that adaptive execution can split hot ones.
     """
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "simhash-edges")
-    root = materialize(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")), "simhash-roots")
+    found = None
     while True:
-        neighbours = both.join(root, both["b"] == root["fp"]).groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        up = root.select(F.col("fp").alias("p"), F.col("root").alias("above"))
-        hooked = root.join(neighbours, "fp", "left").withColumn("low", F.least("root", "near"))
-        new = hooked.join(up, hooked["low"] == up["p"], "left").select("fp", F.least("low", "above").alias("root"), (F.least("low", "above") != F.col("root")).alias("moved"))
-        new = materialize(new, "simhash-roots")
-        root = new.select("fp", "root")
-        if not new.filter("moved").limit(1).count():
-            return root
+        root = materialize(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")), "simhash-roots")
+        while True:
+            up = root.select(F.col("fp").alias("p"), F.col("root").alias("above"))
+            new = materialize(root.join(up, root["root"] == up["p"]).select("fp", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "simhash-roots")
+            root = new.select("fp", "root")
+            if not new.filter("moved").limit(1).count():
+                break
+        ends = root.select(F.col("fp").alias("end"), F.col("root").alias("further"))
+        found = root if found is None else found.join(ends, found["root"] == ends["end"], "left").select("fp", F.coalesce("further", "root").alias("root"))
+        of = lambda c: root.select(F.col("fp").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
+        both = materialize(both.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "simhash-edges")
+        if not both.limit(1).count():
+            return found
 
 
 def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
@@ -345,20 +348,19 @@ def near_copies(df: DataFrame, text: str = "text", shingle: int = 5, similarity:
     rows = materialize(marked.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "fps", F.xxhash64("fps").alias("node"), F.monotonically_increasing_id().alias("place")), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
     nodes = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps"), F.min(order).alias("low"), F.count("*").alias("n")), "simhash-nodes")
-    n = nodes.count()
+    found = links(nodes.select("node", "fps"), nodes.count(), threshold=RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"f{c}"))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # most groups are joined by their first fingerprints; the others then look for what is still missing
-    joined = nodes.select("node", F.col("node").alias("joined"))
-    for own in (F.slice("fps", 1, 1), F.slice("fps", 2, SIGNATURE - 1)):
-        asked = nodes.join(joined, "node").select("node", "joined", own.alias("fps"))
-        found = links(asked, n, threshold=RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = found.join(side("a"), "a").join(side("b"), "b").filter(apart <= bits_apart(similarity, 64 * SIGNATURE)).select("a", "b")
-        of = lambda c: joined.select(F.col("node").alias(c), F.col("joined").alias(f"j{c}"))
-        edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ja").alias("a"), F.col("jb").alias("b")).filter("a <> b").distinct()
-        roots = components(edges).select(F.col("fp").alias("joined"), "root")
-        joined = materialize(joined.join(roots, "joined", "left").select("node", F.coalesce("root", "joined").alias("joined")), "simhash-joined")
-    group = nodes.join(joined, "node").select("node", "low", "n", F.col("joined").alias("root"))
+    differ = F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    near = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", differ.alias("bits"))
+    near = near.filter(F.aggregate("bits", F.lit(0), lambda s, x: s + x) <= bits_apart(similarity, 64 * SIGNATURE))
+    near = materialize(near.select("a", "b", (F.get("bits", F.lit(0)) <= RADIUS).alias("first")), "simhash-near")
+    # most groups are joined by their first fingerprints; of the other links those are left that join such groups
+    roots = components(near.filter("first").select("a", "b"))
+    of = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"r{c}"))
+    rest = near.filter("not first").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    above = components(rest.filter("a <> b").distinct()).select(F.col("fp").alias("low_root"), F.col("root").alias("high_root"))
+    group = nodes.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("low_root", F.coalesce("root", "node"))
+    group = group.join(above, "low_root", "left").select("node", "low", "n", F.coalesce("high_root", "low_root").alias("root"))
     first = group.groupBy("root").agg(F.min("low").alias("first"), F.sum("n").alias("size")).filter("size > 1")
     # only groups of several rows are joined with the rows
     chosen = group.join(first, "root").select("node", F.col("first.place").alias("first"))
