@@ -105,10 +105,10 @@ def trace_counts(think: Column, copy_ratio: Column, frozen: bool = False) -> Col
     """
     explicit, enum = count_matches(think, P.TRACES_EXPLICIT), count_matches(think, P.TRACES_ENUMERATION)
     if frozen:
-        docs = lambda s: F.size(F.regexp_extract_all(s, F.lit(P.DOC_TOKEN_FROZEN), F.lit(0)))
+        docs = lambda s: F.size(F.regexp_extract_all(s, F.lit(unicode(P.DOC_TOKEN_FROZEN)), F.lit(0)))
         fine = lambda s: (docs(s) == 1) & s.rlike(P.REASONING_WORD)
         listed = F.filter(sentences(think), lambda s: (docs(s) > 0) & ~(fine(s)))
-        policy = F.aggregate(F.transform(listed, docs), F.lit(0), lambda a, x: a + x) + (docs(text0(think)) >= 3).cast("int") + text0(think).rlike(P.POLICY_LABEL).cast("int")
+        policy = F.aggregate(F.transform(listed, docs), F.lit(0), lambda a, x: a + x) + (docs(text0(think)) >= 3).cast("int") + text0(think).rlike(unicode(P.POLICY_LABEL)).cast("int")
         verbatim = (copy_ratio >= 0.40).cast("int")
     else:
         policy = standalone_units(think)
@@ -225,12 +225,12 @@ def candidate_features(df, text: str, prompt: str, gold: str, query: str | None
     asked = F.col(query) if query else F.lit("")
     df = df.withColumns({"copy_ratio": copy_signal(think, refs), "masked_copy": copy_signal(mask_facts(think), mask_facts(refs)), "degen": degeneration(degeneration_input(think)), "gold_facts": facts.wide_facts(g), "answer_score": answer_drift(answer, g)})
     df = df.withColumns({"counts": trace_counts(think, F.col("copy_ratio")), "frozen_counts": trace_counts(think, F.col("copy_ratio"), frozen=True), "standalone": standalone_units(think), "citation_density": citation_density(think)})
-    clean_urls = F.regexp_replace(text0(think), P.OFFICIAL_URL, "")
+    clean_urls = F.regexp_replace(text0(think), unicode(P.OFFICIAL_URL), "")
     df = df.withColumns({
         "think_len": F.length(think), "format_ok": format_ok(think, answer, 40, 2200), "fact_recall": facts.recall(F.col("gold_facts"), facts.wide_facts(answer)),
         "introduced_nums": F.array_except(facts._sorted(facts.number_facts(think), facts.number_facts(answer)), facts._sorted(facts.number_facts(refs), facts.number_facts(g), facts.number_facts(asked))),
         "grounding_floor_ok": (F.size("gold_facts") == 0) | F.arrays_overlap(facts.wide_facts(think), facts._sorted(facts.wide_facts(refs), F.col("gold_facts"))),
-        "label_line": text0(think).rlike(P.POLICY_LABEL), "img_trace": clean_urls.rlike(P.IMAGE_TRACE), "customer_trace": text0(think).rlike(P.CUSTOMER_TRACE), "qa_trace": text0(think).rlike(P.QA_TRACE),
+        "label_line": text0(think).rlike(unicode(P.POLICY_LABEL)), "img_trace": clean_urls.rlike(unicode(P.IMAGE_TRACE)), "customer_trace": text0(think).rlike(unicode(P.CUSTOMER_TRACE)), "qa_trace": text0(think).rlike(unicode(P.QA_TRACE)),
     })
     c = F.col
     reasons = hard_reasons({

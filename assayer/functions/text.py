@@ -42,10 +42,15 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x or ""))
 
 
+_WIDE = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　"
+_ASCII = "".join(chr(x) for x in range(0x21, 0x7F)) + " "
+#: The same in SQL; {x} is the text.
+NFKC_ASCII_SQL = f"translate(coalesce({{x}}, ''), '{_WIDE}', '{_ASCII.replace(chr(39), chr(39) * 2).replace('{', '{{').replace('}', '}}')}')"
+
+
 def nfkc_ascii(c: Column) -> Column:
     """The part of NFKC that fact extraction relies on, natively: full-width ASCII and the ideographic blank."""
-    wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　"
-    return F.translate(text0(c), wide, "".join(chr(x) for x in range(0x21, 0x7F)) + " ")
+    return F.translate(text0(c), _WIDE, _ASCII)
 
 
 def _cut(c: Column, start: Column, end: Column | None = None) -> Column:
@@ -189,10 +194,13 @@ def length_penalty(c: Column | str, most: int = 2200) -> Column:
     return F.when(n <= most, F.lit(0.0)).otherwise(F.least(F.lit(0.6), (n - most) / 1000.0 * 0.3))
 
 
+#: What is masked before degeneration is measured, in order, and by what.
+DEGENERATION_STEPS = [(P.LEDGER_LINE, ""), (P.LEDGER_HEAD, ""), (r"[“”\"'‘’]", ""), (r"[—–－]+", "-"), (r"A\d{5,6}", "⟨F⟩"), (P.DATE_MASK, "⟨D⟩"), (P.DOC_TOKEN_FROZEN, "⟨C⟩"), (P.NUMBER_BARE, "⟨N⟩")]
+
+
 def degeneration_input(c: Column | str) -> Column:
     """The normal form on which degeneration is measured: ledger lines out, forms, dates, documents and numbers masked."""
-    steps = [(P.LEDGER_LINE, ""), (P.LEDGER_HEAD, ""), (r"[“”\"'‘’]", ""), (r"[—–－]+", "-"), (r"A\d{5,6}", "⟨F⟩"), (P.DATE_MASK, "⟨D⟩"), (P.DOC_TOKEN_FROZEN, "⟨C⟩"), (P.NUMBER_BARE, "⟨N⟩")]
-    return reduce(lambda x, s: F.regexp_replace(x, ("(?U)" + s[0]) if "(?" != s[0][:2] else s[0], s[1]), steps, nfkc_ascii(text0(c)))
+    return reduce(lambda x, s: F.regexp_replace(x, "(?U)" + s[0], s[1]), DEGENERATION_STEPS, nfkc_ascii(text0(c)))
 
 
 def degeneration(norm: Column) -> Column:
@@ -267,15 +275,17 @@ def shorten(c: Column | str) -> Column:
 
 def surgery(c: Column | str, cuts: list[str] | None = None) -> Column:
     """Deletes the marks one after another, then squeezes blank lines and blanks."""
-    out = reduce(lambda x, p: F.regexp_replace(x, p, ""), P.SURGERY if cuts is None else cuts, text0(c))
+    out = reduce(lambda x, p: F.regexp_replace(x, "(?U)" + p, ""), P.SURGERY if cuts is None else cuts, text0(c))
     return strip(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
+#: What mask_facts masks, in order.
+MASKS = (P.OFFICIAL_URL, P.LEDGER_LINE, P.DATE_MASK, P.RATE_MASK, P.DOC_TOKEN_FROZEN, P.FORM_PATH, P.FORM_NAME, P.ACCOUNT_TERM, "|".join(sorted(P.LEGAL_TERMS, key=len, reverse=True)))
+
+
 def mask_facts(c: Column | str) -> Column:
     """Facts with one proper wording give way to a box; runs of boxes become one."""
-    terms = "|".join(sorted(P.LEGAL_TERMS, key=len, reverse=True))
-    masks = (P.OFFICIAL_URL, P.LEDGER_LINE, P.DATE_MASK, P.RATE_MASK, P.DOC_TOKEN_FROZEN, P.FORM_PATH, P.FORM_NAME, P.ACCOUNT_TERM, terms)
-    return F.regexp_replace(reduce(lambda x, p: F.regexp_replace(x, p, "□"), masks, nfkc_ascii(text0(c))), "□+", "□")
+    return F.regexp_replace(reduce(lambda x, p: F.regexp_replace(x, "(?U)" + p, "□"), MASKS, nfkc_ascii(text0(c))), "□+", "□")
 
 
 def quote_found(quote: Column, text: Column, least: int = 6) -> Column:

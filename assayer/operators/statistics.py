@@ -28,18 +28,26 @@ def auc(df: DataFrame, score: str, label: Column, undefined: float | None = 0.5)
     return out.select("n_pos", "n_neg", F.coalesce(value, F.lit(undefined)).alias("auc"))
 
 
+#: Modulus of the uniform numbers of resamples.
+PRIME = (1 << 31) - 1
+
+
 def bootstrap_ci(df: DataFrame, value: str, key: str, b: int = 2000, alpha: float = 0.05, seed: int = 13) -> DataFrame:
     """Percentile interval of the mean from b Poisson resamples whose weights come from hashes: deterministic and distributed.
 
-    Weights: a uniform from the hash of (seed, resample, key) against the Poisson(1) distribution up to 6.
+    Weights: a uniform number against the Poisson(1) distribution up to 6. The md5 of (seed, key), taken
+    once a row, gives two numbers x and y, and x + i * y modulo a prime is the uniform number of resample i:
+    any two resamples are independent, which is what quantiles over resamples need.
     """
     cdf, p, total = [], 0.36787944117144233, 0.0
     for k in range(6):
         total += p
         cdf.append(total)
         p /= k + 1
-    per = df.filter(F.col(value).isNotNull()).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "i", key), F.lit(1 << 30)) / float(1 << 30)
+    md5 = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    part = lambda at: F.conv(F.substring(md5, at, 8), 16, 10).cast("long")
+    per = df.filter(F.col(value).isNotNull()).select(F.col(value).alias(value), part(1).alias("x"), part(9).alias("y")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    u = (F.col("x") + F.col("i") * F.col("y")) % PRIME / float(PRIME)
     w = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
     means = per.withColumn("w", w).groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     place = F.row_number().over(Window.orderBy("m")) - 1  # b rows

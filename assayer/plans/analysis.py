@@ -296,9 +296,14 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.auc(d, "n_chars", F.col("toxic") == 1).withColumn("auc", r6(F.col("auc")))
 
 
-@query("D-4")
+@query("D-4", """WITH h AS (SELECT quality, ('0x' || substr(md5('13|' || doc_id), 1, 8))::BIGINT AS x, ('0x' || substr(md5('13|' || doc_id), 9, 8))::BIGINT AS y FROM labels WHERE quality IS NOT NULL),
+u AS (SELECT i, quality, (x + i * y) % 2147483647 / 2147483647::DOUBLE AS u FROM h, range(0, 500) t(i)),
+w AS (SELECT i, quality, (u >= exp(-1))::INT + (u >= 2 * exp(-1))::INT + (u >= 2.5 * exp(-1))::INT + (u >= 8 / 3::DOUBLE * exp(-1))::INT + (u >= 65 / 24::DOUBLE * exp(-1))::INT + (u >= 163 / 60::DOUBLE * exp(-1))::INT AS w FROM u),
+m AS (SELECT i, sum(w * quality) / nullif(sum(w), 0) AS m FROM w GROUP BY i), p AS (SELECT m, row_number() OVER (ORDER BY m NULLS FIRST) - 1 AS p FROM m)
+SELECT round(max(m) FILTER (p = 12), 6) AS low, round(max(m) FILTER (p = 486), 6) AS high FROM p""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bootstrap_ci(table(spark, sf_dir, "labels"), "quality", "doc_id", b=500)
+    ci = S.bootstrap_ci(table(spark, sf_dir, "labels"), "quality", "doc_id", b=500)
+    return ci.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 
 
 @query("D-10 D-11", "SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(sqrt(1.02 * 1.02 + 0.74 * 0.74 / k) / sqrt(n), 6) AS se FROM (VALUES (100), (500), (2000)) a(n), (VALUES (1), (2), (3), (16)) b(k)")

@@ -73,7 +73,29 @@ def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", long(X.compact_length(F.col("text"))).alias("compact_len"), r6(X.distinct2("text")).alias("distinct2"), long(X.max_repeat(X.ngrams("text", 8))).alias("max_8gram"))
 
 
-@query("T-12 T-13", None)
+_AFTER = r"regexp_replace(regexp_replace(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _cut_sql(text: str, cuts: list[str]) -> str:
+    """Surgery: the cuts one after another, then fewer blanks."""
+    for p in cuts:
+        text = f"regexp_replace({text}, '{p}', '', 'g')"
+    return _AFTER.format(x=text)
+
+
+def _masked_sql(text: str, masks: list[tuple[str, str]]) -> str:
+    for pattern, by in masks:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return text
+
+
+_NORM = _masked_sql(X.NFKC_ASCII_SQL.format(x="text"), X.DEGENERATION_STEPS)
+
+
+@query("T-12 T-13", f"""WITH d AS (SELECT doc_id, {_NORM} AS n FROM documents), s AS (SELECT doc_id, regexp_replace(n, '\\s+', '', 'g') AS t, list_filter(list_transform(string_split_regex(n, '[。！？!?\\n;；]+'), lambda s: {_STRIP.format(x='s')}), lambda s: s <> '') AS s FROM d),
+g AS (SELECT doc_id, list_filter(s, lambda x: NOT regexp_matches(x, '[0-9]')) AS o, list_filter(list_transform(s, lambda x: regexp_replace(x, '\\s+', '', 'g')), lambda x: length(x) >= 10) AS same, {_gram_sql(8)} AS eight, {_gram_sql(2)} AS two FROM s),
+m AS (SELECT doc_id, len(list_filter(o, lambda x: length(x) <= 6)) / greatest(1, len(o)) AS short_ratio, coalesce(list_max(map_values(list_histogram(eight))), 0)::BIGINT AS max_8gram, coalesce(list_max(map_values(list_histogram(same))), 0)::BIGINT AS max_sentence, CASE WHEN len(two) = 0 THEN 0.0 ELSE len(list_distinct(two)) / len(two) END AS d2 FROM g)
+SELECT doc_id, round(short_ratio, 6) AS short_ratio, max_8gram, max_sentence, short_ratio > 0.25 OR max_8gram >= 3 AS soft, d2 < 0.10 OR max_sentence >= 3 OR (max_8gram >= 5 AND d2 < 0.35) AS extreme FROM m""")
 def degeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("n", X.degeneration_input("text")).withColumn("d", X.degeneration(F.col("n")))
     return d.select("doc_id", r6(F.col("d.short_ratio")).alias("short_ratio"), long("d.max_8gram").alias("max_8gram"), long("d.max_sentence").alias("max_sentence"), "d.soft", "d.extreme")
@@ -115,10 +137,15 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", X.numbered(lines).alias("numbered"))
 
 
-@query("T-19 T-20 T-21 T-29 X-9")
+_CUTS = ["All rights reserved", r"https?://\S+"]
+_HALF = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？!?\n;；]*[。！？!?\n;；]|[^。！？!?\n;；]+$'), lambda s: s), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')"
+
+
+@query("T-19 T-20 T-21 X-9", f"""WITH d AS (SELECT doc_id, {_STRIP.format(x='text')} <> {_cut_sql('text', _CUTS)} AS has_trace, {_masked_sql(_masked_sql(X.NFKC_ASCII_SQL.format(x='text'), [(m, '□') for m in X.MASKS]), [('□+', '□')])} AS m, {_HALF} AS h FROM documents)
+SELECT doc_id, has_trace, length(m) AS masked_len, length(array_to_string(h[1 : greatest(1, len(h) // 2)], '')) AS short_len FROM d""")
 def surgery_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    cut = X.surgery("text", ["All rights reserved", r"https?://\S+"])
+    cut = X.surgery("text", _CUTS)
     return d.select("doc_id", (X.strip(F.col("text")) != cut).alias("has_trace"), long(F.length(X.mask_facts("text"))).alias("masked_len"), long(F.length(X.shorten("text"))).alias("short_len"))
 
 
@@ -211,7 +238,8 @@ def settled_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", judge.settled_vote(a, b, d).alias("vote"))
 
 
-@query("G-24")
+@query("G-24", r"""WITH c AS (SELECT conv_id, turn, turn % 2 = 0 AS own, regexp_replace(text, '\s+', '', 'g') AS t, regexp_replace(CASE WHEN turn % 2 = 0 THEN substr(text, 1, 12) ELSE 'nowhere to be found' END, '\s+', '', 'g') AS q FROM conversations),
+p AS (SELECT *, length(q) >= 6 AND contains(t, q) AS proven FROM c) SELECT conv_id, turn, true AS valid, proven AS positive, NOT proven AS low_confidence FROM p""")
 def evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("q", F.substring("text", 1, 12))
     raw = F.to_json(F.struct(F.array(F.when(F.col("turn") % 2 == 0, F.col("q")).otherwise(F.lit("nowhere to be found"))).alias("evidence"), F.lit(True).alias("positive"), F.lit(3).alias("score")))
@@ -310,11 +338,15 @@ def sse_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packaging.sse_text(lines.unionByName(noise), "value", "conv_id", "turn").select("conv_id", F.md5("content").alias("content"))
 
 
-@query("X-6 X-21")
+_LATIN = [p for ps in P.RAG_STYLE_LATIN.values() for p in ps]
+_TRACED = lambda x: " OR ".join(f"regexp_matches({x}, '{p}')" for p in _LATIN)
+
+
+@query("X-6 X-21", f"""WITH d AS (SELECT lang, text, {_cut_sql('text', _LATIN)} AS after FROM documents), f AS (SELECT lang, {_TRACED('text')} AS b, {_TRACED('after')} AS a FROM d)
+SELECT count(*) AS n, count(*) FILTER (b) AS n_before, count(*) FILTER (a) AS n_after, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS grp FROM f GROUP BY GROUPING SETS ((), (lang))""")
 def rewrite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trace flags before and after surgery, over all and by language."""
-    cuts = [p for ps in P.RAG_STYLE_LATIN.values() for p in ps]
-    d = table(spark, sf_dir, "documents").select("lang", "text", X.surgery("text", cuts).alias("after"))
+    d = table(spark, sf_dir, "documents").select("lang", "text", X.surgery("text", _LATIN).alias("after"))
     flag = lambda c: rules.has_rag_style(F.col(c), P.RAG_STYLE_LATIN, dump=False)
     f = d.select("lang", flag("text").alias("b"), flag("after").alias("a"))
     agg = [F.count("*").alias("n"), F.count_if("b").alias("n_before"), F.count_if("a").alias("n_after")]
