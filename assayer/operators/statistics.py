@@ -46,10 +46,10 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, b: int = 2000, alpha: floa
         p /= k + 1
     md5 = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     part = lambda at: F.conv(F.substring(md5, at, 8), 16, 10).cast("long")
-    per = df.filter(F.col(value).isNotNull()).select(F.col(value).alias(value), part(1).alias("x"), part(9).alias("y")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    per = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), part(1).alias("x"), part(9).alias("y")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     u = (F.col("x") + F.col("i") * F.col("y")) % PRIME / float(PRIME)
     w = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    means = per.withColumn("w", w).groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    means = per.withColumn("w", w).groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     place = F.row_number().over(Window.orderBy("m")) - 1  # b rows
     lo, hi = int(alpha / 2 * (b - 1)), int((1 - alpha / 2) * (b - 1))
     return means.withColumn("p", place).agg(F.max(F.when(F.col("p") == lo, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == hi, F.col("m"))).alias("high"))
