@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sheets import read_xlsx
+
 CORRUPT = "_corrupt_record"
 
 
@@ -38,15 +40,18 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_table(spark: SparkSession, path: str, keep: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """CSV (the exchange form of a sheet): required columns are checked, `keep` (column=value) filters, texts are trimmed, nulls and repeats go."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """A sheet as CSV, or as xlsx by its ending: required columns are checked, `keep` (column=value) filters, texts are trimmed, nulls and repeats go."""
+    if path.lower().endswith(".xlsx"):
+        df = read_xlsx(spark, path)
+    else:
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     lacking = [c for c in required if c not in df.columns]
     if lacking:
         raise ValueError(f"missing columns: {', '.join(lacking)}")
     if keep:
         col, value = keep.split("=", 1)
-        df = df.filter(F.trim(F.col(col)) == value)
-    df = df.select(*[F.regexp_replace(c, r"(?U)^\s+|\s+$", "").alias(c) for c in df.columns])
+        df = df.filter(F.trim(F.col(f"`{col}`")) == value)
+    df = df.select(*[F.regexp_replace(F.col(f"`{c}`"), r"(?U)^\s+|\s+$", "").alias(c) for c in df.columns])
     return df.dropna(subset=list(required) or None).dropDuplicates(list(required) or None)
 
 

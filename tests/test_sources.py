@@ -1,9 +1,11 @@
 """Sources, sinks, packaging and streams."""
 
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.sources import html, packaging, tables
+from assayer.sources import html, packaging, sheets, tables
 from assayer.streaming import progress
 
 
@@ -17,6 +19,39 @@ def test_jsonl_modes(spark, tmp_path):
         tables.read_jsonl(spark, str(p), "k long", mode="strict").collect()
 
 
+def workbook(path, sheets, shared=()):
+    """A minimal workbook; sheets: name -> rows of XML cells."""
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si>{s}</si>" for s in shared) + "</sst>")
+        for i, rows in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}><sheetData>" + "".join(f"<row>{''.join(r)}</row>" for r in rows) + "</sheetData></worksheet>")
+
+
+def test_xlsx(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "ROWS_PER_BATCH", 2)
+    text = lambda s, r="": f'<c t="inlineStr"{r}><is><t>{s}</t></is></c>'
+    rows = [
+        [text("use"), text("query"), text("use"), text("n.x", ' r="E1"')],
+        ['<c r="A2" t="s"><v>0</v></c>', '<c r="B2" t="s"><v>1</v></c>', '<c r="C2" t="b"><v>1</v></c>', '<c r="E2"><v>4.5</v></c>'],
+        [], ['<c r="A4" t="s"><v>0</v></c>', text(" q 2 ", ' r="B4"'), '<c r="E4" t="e"><v>#N/A</v></c>'],
+        [text("no"), text("q3")], ['<c r="A6" t="s"><v>0</v></c>'], ['<c r="A7" t="s"><v>0</v></c>', text("q 2", ' r="B7"')],
+    ]
+    p = str(tmp_path / "a.xlsx")
+    workbook(p, {"first": rows, "none": []}, shared=["<t>yes</t>", "<r><t>ri</t></r><r><t>ch</t></r><rPh><t>x</t></rPh>"])
+    got = sheets.read_xlsx(spark, p)
+    assert got.columns == ["use", "query", "use.1", "Unnamed: 3", "n.x"]
+    assert [tuple(r) for r in got.collect()] == [("yes", "rich", "TRUE", None, "4.5"), ("yes", " q 2 ", None, None, None), ("no", "q3", None, None, None), ("yes", None, None, None, None), ("yes", "q 2", None, None, None)]
+    kept = tables.read_table(spark, p, keep="use=yes", required=("query",))
+    assert sorted(r["query"] for r in kept.collect()) == ["q 2", "rich"]
+    assert sheets.read_xlsx(spark, p, "none", ["query"]).count() == 0 and sheets.read_xlsx(spark, p, "none").columns == []
+    with pytest.raises(Exception, match="no sheet"):
+        sheets.read_xlsx(spark, p, "other", ["query"]).count()
+
+
 def test_empty_sink_is_valid(spark, tmp_path):
     tables.write_jsonl(spark.createDataFrame([], "k long"), str(tmp_path / "e"))
     assert tables.read_jsonl(spark, str(tmp_path / "e"), "k long").count() == 0
