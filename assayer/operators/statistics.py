@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,19 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, b: int = 2000, alpha: floa
     return means.withColumn("p", place).agg(F.max(F.when(F.col("p") == lo, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == hi, F.col("m"))).alias("high"))
 
 
+def paired_readout(pairs: DataFrame, key: str, goal: Column, guards: dict[str, Column], b: int = 2000, tolerance: float = 0.01) -> DataFrame:
+    """One row: n, mean of `goal` (a paired difference) with its interval, means of the guards, and go.
+
+    go: the interval lies above zero and no guard falls by more than `tolerance`. A missing difference counts as 0.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    d = pairs.select(F.col(key).alias("key"), zero(goal).alias("goal"), *[zero(c).alias(f"g{i}") for i, c in enumerate(guards.values())])
+    means = d.agg(F.count("*").alias("n"), F.avg("goal").alias("delta"), *[F.avg(f"g{i}").alias(k) for i, k in enumerate(guards)])
+    out = means.crossJoin(F.broadcast(bootstrap_ci(d, "goal", "key", b)))  # one row each
+    held = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"`{k}`") >= -tolerance, F.lit(False)) for k in guards], F.coalesce(F.col("low") > 0, F.lit(False)))
+    return out.withColumn("go", held)
+
+
 def mcnemar_table(pairs: DataFrame, base: Column, candidate: Column) -> DataFrame:
     """base_only, candidate_only and the statistic, over paired booleans."""
     out = pairs.agg(F.count_if(base & ~candidate).alias("base_only"), F.count_if(~base & candidate).alias("candidate_only"))

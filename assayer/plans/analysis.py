@@ -296,16 +296,34 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.auc(d, "n_chars", F.col("toxic") == 1).withColumn("auc", r6(F.col("auc")))
 
 
-@query("D-4", """WITH h AS (SELECT quality, ('0x' || substr(md5('13|' || doc_id), 1, 8))::BIGINT AS x, ('0x' || substr(md5('13|' || doc_id), 9, 8))::BIGINT AS y FROM labels WHERE quality IS NOT NULL),
-u AS (SELECT i, quality, (x + i * y) % 2147483647 / 2147483647::DOUBLE AS u FROM h, range(0, 500) t(i)),
-w AS (SELECT i, quality, (u >= exp(-1))::INT + (u >= 2 * exp(-1))::INT + (u >= 2.5 * exp(-1))::INT + (u >= 8 / 3::DOUBLE * exp(-1))::INT + (u >= 65 / 24::DOUBLE * exp(-1))::INT + (u >= 163 / 60::DOUBLE * exp(-1))::INT AS w FROM u),
-m AS (SELECT i, sum(w * quality) / nullif(sum(w), 0) AS m FROM w GROUP BY i), p AS (SELECT m, row_number() OVER (ORDER BY m NULLS FIRST) - 1 AS p FROM m)
-SELECT round(max(m) FILTER (p = 12), 6) AS low, round(max(m) FILTER (p = 486), 6) AS high FROM p""")
+def _resampled(rows: str, key: str, value: str, b: int) -> str:
+    """Tables up to `ci`: the interval of the mean of `rows` from b resamples."""
+    above = " + ".join(f"(u >= {x} * exp(-1))::INT" for x in ("1", "2", "2.5", "(8 / 3::DOUBLE)", "(65 / 24::DOUBLE)", "(163 / 60::DOUBLE)"))
+    lo, hi = int(0.025 * (b - 1)), int(0.975 * (b - 1))
+    return f"""rh AS (SELECT {value} AS v, ('0x' || substr(md5('13|' || {key}), 1, 8))::BIGINT AS x, ('0x' || substr(md5('13|' || {key}), 9, 8))::BIGINT AS y FROM {rows} WHERE {value} IS NOT NULL),
+ru AS (SELECT i, v, (x + i * y) % {S.PRIME} / {S.PRIME}::DOUBLE AS u FROM rh, range(0, {b}) t(i)), rw AS (SELECT i, v, {above} AS w FROM ru),
+rm AS (SELECT i, sum(w * v) / nullif(sum(w), 0) AS m FROM rw GROUP BY i), rp AS (SELECT m, row_number() OVER (ORDER BY m NULLS FIRST) - 1 AS p FROM rm),
+ci AS (SELECT max(m) FILTER (p = {lo}) AS low, max(m) FILTER (p = {hi}) AS high FROM rp)"""
+
+
+@query("D-4", f"WITH {_resampled('labels', 'doc_id', 'quality', 500)} SELECT round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     ci = S.bootstrap_ci(table(spark, sf_dir, "labels"), "quality", "doc_id", b=500)
     return ci.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 
 
+@query("X-11", f"""WITH {C}, m AS (SELECT pk, flag, avg(qty) AS q, avg(pen) AS p, avg(tax) AS t FROM c WHERE flag IN ('A', 'R') GROUP BY pk, flag),
+d AS (SELECT pk, coalesce(r.q - a.q, 0) AS goal, coalesce(r.p - a.p, 0) AS grounded, coalesce(r.t - a.t, 0) AS accuracy FROM m a JOIN m r USING (pk) WHERE a.flag = 'A' AND r.flag = 'R'),
+{_resampled('d', 'pk', 'goal', 200)}, n AS (SELECT count(*) AS n, avg(goal) AS delta, avg(grounded) AS grounded, avg(accuracy) AS accuracy FROM d)
+SELECT n, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(grounded, 6) AS grounded, round(accuracy, 6) AS accuracy, low > 0 AND grounded >= -0.01 AND accuracy >= -0.01 AS go FROM n, ci""")
+def paired_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over parts, by return flag: quantity is what should rise, discount and tax are the guards."""
+    runs = candidates(spark, sf_dir).groupBy("pk").pivot("flag", ["A", "R"]).agg(F.avg("qty").alias("q"), F.avg("pen").alias("p"), F.avg("tax").alias("t"))
+    delta = lambda v: F.col(f"R_{v}") - F.col(f"A_{v}")
+    out = S.paired_readout(runs.filter("A_q is not null and R_q is not null"), "pk", delta("q"), {"grounded": delta("p"), "accuracy": delta("t")}, b=200)
+    return out.select("n", *[r6(F.col(c)).alias(c) for c in ("delta", "low", "high", "grounded", "accuracy")], "go")
+
+
 @query("D-10 D-11", "SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(sqrt(1.02 * 1.02 + 0.74 * 0.74 / k) / sqrt(n), 6) AS se FROM (VALUES (100), (500), (2000)) a(n), (VALUES (1), (2), (3), (16)) b(k)")
 def se_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.createDataFrame([(x,) for x in (100, 500, 2000)], "n int")

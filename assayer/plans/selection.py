@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators import aggregates as A
 from ..operators import incremental as I
 from ..operators import joins as J
@@ -207,6 +208,34 @@ def systematic_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.systematic_holdout(qids, "qid", 0.05)
 
 
+_SCORED = "s AS (SELECT doc_id, text, CASE WHEN doc_id % 11 <> 3 THEN doc_id % 5 <> 0 END AS facts_ok, CASE WHEN doc_id % 4 = 0 THEN doc_id % 8 = 0 END AS facts_kept, CASE WHEN doc_id % 9 <> 0 THEN doc_id % 100 / 100::DOUBLE END AS human FROM documents)"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as scored candidates, some without a score."""
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.when(k % 11 != 3, k % 5 != 0).alias("facts_ok"), F.when(k % 4 == 0, k % 8 == 0).alias("facts_kept"), F.when(k % 9 != 0, k % 100 / 100.0).alias("human"))
+
+
+@query("X-13", f"""WITH {_SCORED}, k AS (SELECT doc_id, text, md5('cold|' || doc_id) AS h FROM s WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND coalesce(facts_ok, true) AND coalesce(facts_kept, true) AND coalesce(human, 0) >= 0.6)
+SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY h) - 1) % 20 = 0 THEN 'eval' ELSE 'train' END AS split, md5('<think>' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || '</think>') AS reply FROM k""")
+def cold_start_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that pass the older gate (missing facts pass, a missing score fails), every twentieth held out, with the assembled reply."""
+    s = _scored(spark, sf_dir).withColumn("think", strip(F.col("text")))
+    kept = s.filter(F.coalesce("facts_ok", F.lit(True)) & F.coalesce("facts_kept", F.lit(True)) & (F.coalesce("human", F.lit(0.0)) >= 0.6) & (F.col("think") != ""))
+    kept = R.systematic_holdout(kept.withColumn("h", F.md5(F.concat(F.lit("cold|"), F.col("doc_id").cast("string")))), "h", 0.05)
+    reply = F.md5(F.concat(F.lit("<think>\n"), "think", F.lit("\n</think>")))
+    return kept.select("doc_id", F.when(F.col("held_out"), "eval").otherwise("train").alias("split"), reply.alias("reply"))
+
+
+@query("X-14", f"WITH {_SCORED} SELECT doc_id, 'low' AS label FROM s UNION ALL SELECT doc_id, 'high' AS label FROM s WHERE coalesce(facts_ok AND human >= 0.6, false)")
+def low_contrast_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every original counts as low; those that pass the gate come again as high."""
+    s = _scored(spark, sf_dir)
+    high = s.filter(F.coalesce(F.col("facts_ok") & (F.col("human") >= 0.6), F.lit(False)))
+    return s.select("doc_id", F.lit("low").alias("label")).unionByName(high.select("doc_id", F.lit("high").alias("label")))
+
+
 @query("R-12", "SELECT doc_id, doc_id % 10 = 0 AS held_out FROM documents")
 def positional_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.positional_holdout(table(spark, sf_dir, "documents", "doc_id"), "doc_id")
