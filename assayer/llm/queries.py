@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ of this folder and their SQL, over the driver's tables."""
+"""The queries op1_ to op13_ of this folder and their SQL, over the driver's tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
-from . import bpe, chat, decontaminate, langid, pii, simhash, spans, topk, toxicity, warc
+from . import bpe, chat, decontaminate, langid, phrases, pii, simhash, spans, topk, toxicity, warc
 from .common import load
 
 
@@ -75,8 +75,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.with_spans(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op4_warc, op5_chat, op6_simhash, op7_topk, op8_spans, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op4_warc, op5_chat, op6_simhash, op7_topk, op8_spans, op9_toxicity, op10_pii, op11_phrases)}
 
 
 OP2_SQL = r"""
@@ -153,5 +157,22 @@ FROM o GROUP BY conv_id, part, me
 """
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, s, array_to_string(w[i + 1 : i + s], ' ') AS phrase FROM (SELECT lang, s, w, unnest(range(0, len(w) - s + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(s) WHERE len(w) >= s)),
+f AS (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY lang, s, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE s > 1),
+cuts AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT lang, array_to_string(w[i + 1 : i + k], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, s, k, unnest(range(0, s - k + 1)) AS i FROM (SELECT *, unnest(range(2, s)) AS k FROM c WHERE s > 2)) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op5_chat": OP5_SQL, "op2_decontaminate": OP2_SQL, "op10_pii": op10_sql()}
+    return {"op11_phrases": OP11_SQL, "op4_warc": OP4_SQL, "op5_chat": OP5_SQL, "op2_decontaminate": OP2_SQL, "op10_pii": op10_sql()}
