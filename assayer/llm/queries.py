@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
-from . import bpe, chat, decontaminate, langid, phrases, pii, simhash, spans, topk, toxicity, warc
+from . import bpe, chat, decontaminate, langid, novelty, phrases, pii, simhash, spans, topk, toxicity, trie, warc
 from .common import load
 
 
@@ -79,8 +79,26 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(load(spark, sf_dir, "documents"))
 
 
+def op12_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return novelty.digest(novelty.with_secrets(docs, novelty.dictionary(docs)))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation c begins with the first crc32(c) % 4 turns of conversation c - c % 20 in place of its own."""
+    rows, convs = trie.turns(load(spark, sf_dir, "conversations"))
+    heads = rows.filter((F.col("conv_id") % 20 == 0) & (F.col("place") < 3)).select(F.col("conv_id").alias("base"), "place", "said", "words")
+    of_base = convs.filter(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    about = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).withColumn("h", fold("conv_id", 4)).join(of_base, "base", "left")
+    kept = F.least("h", F.coalesce("base_n", F.lit(0)))
+    about = about.select("conv_id", "base", "n", "h", kept.alias("kept"))
+    first = about.join(heads, "base").filter(F.col("place") < F.col("h")).select("conv_id", (F.col("place") + 1).alias("depth"), "said", "words")
+    rest = rows.join(about, "conv_id").filter(F.col("place") >= F.col("h")).select("conv_id", (F.col("place") - F.col("h") + F.col("kept") + 1).alias("depth"), "said", "words")
+    return trie.tree(first.unionByName(rest), about.select("conv_id", (F.col("kept") + F.greatest(F.lit(0), F.col("n") - F.col("h"))).alias("n")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op4_warc, op5_chat, op6_simhash, op7_topk, op8_spans, op9_toxicity, op10_pii, op11_phrases)}
+    return {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_bpe, op4_warc, op5_chat, op6_simhash, op7_topk, op8_spans, op9_toxicity, op10_pii, op11_phrases, op12_novelty, op13_trie)}
 
 
 OP2_SQL = r"""
@@ -174,5 +192,34 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 """
 
 
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS n, {crc32} % 4 AS h FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS kept FROM c LEFT JOIN (SELECT conv_id AS base, n FROM c) b USING (base)),
+s AS (SELECT k.conv_id, i + 1 AS depth, role, text FROM k JOIN t ON t.conv_id = k.base AND i < h
+  UNION ALL SELECT k.conv_id, i - h + kept + 1, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND i >= h
+  UNION ALL SELECT conv_id, 0, '', '' FROM k),
+p AS (SELECT conv_id, depth, text, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '|') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM s),
+l AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS n FROM p),
+nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256 FROM l GROUP BY depth, key),
+up AS (SELECT x.key, x.depth, a.key AS above, a.depth AS above_depth FROM nodes x JOIN p a ON a.conv_id = x.conv_id AND a.depth <= x.depth),
+kids AS (SELECT above AS key, above_depth AS depth, count(*) AS n FROM up WHERE above_depth = depth - 1 GROUP BY 1, 2),
+sums AS (SELECT above AS key, above_depth AS depth, count(*) FILTER (kids.n IS NULL) AS n_leaves, CAST(sum((x.n_convs - 1) * CASE WHEN x.depth = 0 THEN 0 ELSE words END) AS BIGINT) AS saved_tokens
+  FROM up JOIN nodes x ON x.key = up.key AND x.depth = up.depth LEFT JOIN kids ON kids.key = x.key AND kids.depth = x.depth GROUP BY 1, 2),
+par AS (SELECT up.key, up.depth, a.conv_id AS parent_conv_id FROM up JOIN nodes a ON a.key = above AND a.depth = above_depth WHERE above_depth = up.depth - 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes JOIN sums USING (key, depth) LEFT JOIN kids USING (key, depth) LEFT JOIN par USING (key, depth)
+"""
+
+
+def crc32_sql(value: str) -> str:
+    """crc32 of a value as text, bit by bit."""
+    text = f"CAST({value} AS VARCHAR)"
+    bits = f"flatten([[4294967295]] || list_transform(range(1, length({text}) + 1), lambda j: list_transform(range(0, 8), lambda b: (ascii({text}[j]) >> b) & 1)))"
+    return f"xor(list_reduce({bits}, lambda z, b: CASE WHEN xor(z, b) & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END), 4294967295)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_phrases": OP11_SQL, "op4_warc": OP4_SQL, "op5_chat": OP5_SQL, "op2_decontaminate": OP2_SQL, "op10_pii": op10_sql()}
+    return {"op11_phrases": OP11_SQL, "op13_trie": OP13_SQL.replace("{crc32}", crc32_sql("conv_id")), "op4_warc": OP4_SQL, "op5_chat": OP5_SQL, "op2_decontaminate": OP2_SQL, "op10_pii": op10_sql()}
