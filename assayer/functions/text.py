@@ -5,7 +5,6 @@ A null text counts as empty unless a function says otherwise.
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import patterns as P
+from . import similarity as S
 
 
 def text0(c: Column | str) -> Column:
@@ -222,24 +222,14 @@ def gram_overlap(think: Column, ref: Column, n: int = 5, think_chars: int = 3000
     return let(F.array_distinct(ngrams(F.substring(text0(think), 1, think_chars), n)), share)
 
 
-def common_run(a: str, b: str) -> int:
-    """Length of the longest common substring: binary search on the length, which is monotone, over sets of grams."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        grams = {a[i : i + mid] for i in range(len(a) - mid + 1)}
-        if any(b[i : i + mid] in grams for i in range(len(b) - mid + 1)):
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+common_run = S.common_run
 
 
 @F.pandas_udf(T.DoubleType())
 def longest_share(think: pd.Series, ref: pd.Series) -> pd.Series:
     """Longest common substring over the length of the (capped) text."""
     cut = [((a or "")[:3000], (b or "")[:6000]) for a, b in zip(think, ref, strict=True)]
-    return pd.Series([common_run(a, b) / len(a) if a and b else 0.0 for a, b in cut])
+    return pd.Series([S.common_run(a, b) / len(a) if a and b else 0.0 for a, b in cut])
 
 
 def copy_signal(think: Column, ref: Column) -> Column:
@@ -249,7 +239,7 @@ def copy_signal(think: Column, ref: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def match_ratio(gold: pd.Series, text: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of the first 3000 characters, in this order of arguments."""
-    return pd.Series([difflib.SequenceMatcher(None, (a or "")[:3000], (b or "")[:3000], autojunk=False).ratio() for a, b in zip(gold, text, strict=True)])
+    return pd.Series([S.ratio((a or "")[:3000], (b or "")[:3000]) for a, b in zip(gold, text, strict=True)])
 
 
 def near_ratio(least: float) -> Callable[[Column, Column], Column]:
@@ -257,11 +247,8 @@ def near_ratio(least: float) -> Callable[[Column, Column], Column]:
 
     @F.pandas_udf(T.BooleanType())
     def near(key: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(key, text, strict=True):
-            m = difflib.SequenceMatcher(None, a, b)
-            out.append(m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least)
-        return pd.Series(out, dtype=bool)
+        reaches = S.Near(least)
+        return pd.Series([reaches(a, b) for a, b in zip(key, text, strict=True)], dtype=bool)
 
     return near
 

@@ -1,9 +1,9 @@
 """Queries over the driver's tables, each with equivalent SQL where SQL can say it."""
 
-from . import analysis, gates, selection, texts
+from . import analysis, gates, replies, selection, texts
 from .base import OPS, QUERIES, SQL
 
-__all__ = ["OPS", "analysis", "gates", "oracle_sql", "queries", "selection", "texts"]
+__all__ = ["OPS", "analysis", "gates", "oracle_sql", "queries", "replies", "selection", "texts"]
 
 
 def queries() -> dict:

@@ -71,11 +71,20 @@ def nway_stage_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.in_all(candidates(spark, sf_dir), ["pk"], "flag", ["A", "N", "R"])
 
 
+def _rewritten(c: DataFrame) -> DataFrame:
+    """Turns without up to 36 % of their characters, cut out of their middle."""
+    share, n = F.col("conv_id") / 10 % 5 * 0.09, F.length("text")
+    head = F.floor(n * (1 - share) / 2).cast("int")
+    return c.withColumn("text", F.concat(F.substring("text", F.lit(1), head), F.substring(F.col("text"), F.floor(n * (1 + share) / 2).cast("int") + 1, n)))
+
+
 @query("J-10")
 def near_dup_vs_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of training conversations, and rewritten turns of the held-out ones, that are near a held-out turn."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    held = turns.filter("conv_id % 10 = 0").select(F.col("text").alias("held"))
-    return J.near_duplicates(turns.filter("conv_id % 10 <> 0"), held, "text", "held").select("conv_id", "turn")
+    held = turns.filter("conv_id % 10 = 0")
+    asked = turns.filter("conv_id % 10 <> 0").unionByName(_rewritten(held))
+    return J.near_duplicates(asked, held.select(F.col("text").alias("held")), "text", "held").select("conv_id", "turn")
 
 
 @query("J-10 T-9", """WITH w AS (SELECT item_id, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS g FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark) WHERE length(t) >= 5),
@@ -185,7 +194,7 @@ def pool_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("A-16", f"WITH {C} SELECT count(*) AS n, round(avg(b - o_totalprice / 4), 4) AS headroom FROM (SELECT qid, max(score) AS b FROM c GROUP BY qid) JOIN orders ON o_orderkey = qid")
-def headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_of_k_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_totalprice") / 4).alias("base"))
     return A.headroom(candidates(spark, sf_dir), base, "qid", "score", "base").withColumn("headroom", F.round("headroom", 4))
 

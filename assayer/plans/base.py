@@ -13,9 +13,11 @@ OPS: dict[str, str] = {}
 
 
 def query(ops: str, sql: str | None = None) -> Callable:
-    """Registers a function (spark, sf_dir) under its name, with the operators that it covers."""
+    """Registers a function (spark, sf_dir) under its name, which must be new, with the operators that it covers."""
 
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query is named {f.__name__} already")
         QUERIES[f.__name__], OPS[f.__name__] = f, ops
         if sql:
             SQL[f.__name__] = sql

@@ -238,14 +238,6 @@ def settled_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", judge.settled_vote(a, b, d).alias("vote"))
 
 
-@query("G-24", r"""WITH c AS (SELECT conv_id, turn, turn % 2 = 0 AS own, regexp_replace(text, '\s+', '', 'g') AS t, regexp_replace(CASE WHEN turn % 2 = 0 THEN substr(text, 1, 12) ELSE 'nowhere to be found' END, '\s+', '', 'g') AS q FROM conversations),
-p AS (SELECT *, length(q) >= 6 AND contains(t, q) AS proven FROM c) SELECT conv_id, turn, true AS valid, proven AS positive, NOT proven AS low_confidence FROM p""")
-def evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("q", F.substring("text", 1, 12))
-    raw = F.to_json(F.struct(F.array(F.when(F.col("turn") % 2 == 0, F.col("q")).otherwise(F.lit("nowhere to be found"))).alias("evidence"), F.lit(True).alias("positive"), F.lit(3).alias("score")))
-    return c.withColumn("e", judge.evidence(raw, F.col("text"))).select("conv_id", "turn", "e.valid", "e.positive", "e.low_confidence")
-
-
 @query("G-25 G-28 S-2", """WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'score: ' || (event_id % 17) || ' junk' WHEN event_id % 4 = 1 THEN '```json {"score": ' || (event_id % 13) || '}```' WHEN event_id % 4 = 2 THEN 'none' ELSE '{"score": "' || (event_id % 9) || '"' END AS raw FROM events)
 SELECT event_id, CASE WHEN event_id % 4 = 2 THEN NULL ELSE least(10, try_cast(regexp_extract(raw, 'score"?\\s*[:=]\\s*"?([0-9]+)', 1) AS DOUBLE)) END AS score FROM e""")
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,12 +262,6 @@ def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", judge.reply_text(F.when(F.col("event_id") % 2 == 0, a).otherwise(b)).alias("reply"))
 
 
-@query("G-29 J-12 §2.13", "SELECT item_id, least(5, length(text) // 100) AS level_idx, 10 - 2 * least(5, length(text) // 100) AS anchor FROM benchmark")
-def copy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.least(F.lit(5), F.floor(F.length("text") / 100))
-    return table(spark, sf_dir, "benchmark").select("item_id", long(level).alias("level_idx"), long(10 - 2 * level).alias("anchor"))
-
-
 @query("§2.13", """WITH v AS (SELECT item_id, ('0x' || substr(md5('scorer|' || item_id || '|' || k), 1, 8))::BIGINT AS h FROM benchmark, range(0, 16) t(k)) SELECT item_id, count(*) FILTER (h % 16 <> 0) AS n, round(avg(h % 101 / 10.0) FILTER (h % 16 <> 0), 6) AS clean_score FROM v GROUP BY item_id""")
 def stub_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = HashScorer().votes(table(spark, sf_dir, "benchmark"), "item_id", 16)
@@ -403,12 +389,6 @@ def downsampled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.downsample(table(spark, sf_dir, "events"), "event_id", "value")
 
 
-@query("T-27", r"SELECT conv_id, turn, length(regexp_replace(substr(text, 3, 9), '\s+', '', 'g')) >= 8 AS found FROM conversations")
-def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quote = F.concat(F.lit(" "), F.substring("text", 3, 9), F.lit("\n"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.quote_found(quote, F.col("text"), 8).alias("found"))
-
-
 @query("T-26 S-12", "SELECT item_id, '结论：' || array_to_string(list_sort(list_filter(['the ', 'of ', 'and '], lambda w: contains(text, w))), '、') AS anchor FROM benchmark WHERE contains(text, 'the ') OR contains(text, 'of ') OR contains(text, 'and ')")
 def anchor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"polarity": ["the ", "of ", "and "], "dates": "(?!)", "values": ["(?!)"]}
