@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chars, chat, decontaminate, langid, pii, simhash, spans, topk, toxicity, warc
+from assayer.llm import bpe, chars, chat, decontaminate, langid, nearcopies, pii, simhash, spans, topk, toxicity, warc
 from assayer.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string"
@@ -508,32 +508,10 @@ def test_columns_may_clash(spark):
     assert sorted((r.doc_id, r.n_hit, r.ids, r.k1, r.said) for r in got) == [(1, 2, "z", "z", "z"), (2, 0, "z", "z", "z")]
     left = decontaminate.clean(df, items)
     assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [tuple(r) for r in df.filter("doc_id = 2").collect()]
-    kept = simhash.near_copies(df).select("row.*")
+    kept = nearcopies.near_copies(df).select("row.*")
     assert kept.columns == df.columns and kept.count() == 2
 
 
-def test_near_copies_by_similarity(spark):
-    rng = random.Random(2)
-    say = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(n)]
-    rows, near, far = [], [], []
-    for i in range(150):
-        base = say(rng.randint(60, 300))
-        other = list(base)
-        for p in rng.sample(range(len(base)), max(1, len(base) * rng.randint(0, 8) // 100)):
-            other[p] = "changed" + str(rng.randint(0, 10**6))
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
-        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, other))
-        (near if len(a & b) >= 0.8 * len(a | b) else far).append(i)
-    rows += [(None, rows[0][1]), (None, "nothing else"), (0, "another text with this id " * 3)]
-    got = [(r["row"].doc_id, r.stays) for r in simhash.near_copies(frame(spark, rows)).collect()]
-    stays = Counter(d for d, s in got if s)
-    assert len(got) == len(rows) and sum(not s for d, s in got if d is None) == 1 and stays[None] == 1 and stays[0] == 2
-    assert all(stays[2 * i] for i in range(150))
-    assert sum(not stays[2 * i + 1] for i in near) >= 0.9 * len(near)
-    low = [i for i in far if not stays[2 * i + 1]]
-    assert len(low) <= 0.3 * len(far)
-
-
 def test_white_space_class():
     assert (chars.classes()[[0x20, 0x85, 0x3000]] == chars.SPACE).all() and chars.classes()[0x1C] == chars.OTHER
 
