@@ -17,23 +17,16 @@ find every link; only the work differs.
 Large anchors are split: home members are dealt into parts of at most PART expected rows
 and the other members go to each part, where they stream past the part's home members.
 
-Four blocks also serve radii up to 7: still one bit a block. `near_copies`
-uses that for a similarity of shingle sets. One 64-bit fingerprint tells too little about
-it, so SIGNATURE independent ones are taken of the same shingles. Texts are candidates
-where any of them lies within RADIUS bits, and are linked where all of them together
-differ in no more bits than the similarity (with SLACK for its error) lets expect.
-
 Defined results: null and blank texts have fingerprint zero and are linked like others;
 equal fingerprints are linked (distance 0); texts of fewer words than a shingle has hash
 as one shingle; very long texts are hashed HASHES shingles at a time; repeated rows give
 repeated results; component_id ignores null ids. `near_duplicates` returns its own columns
-alone; `near_copies` keeps all columns of its input, whatever their names.
+alone.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +34,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize, small_batches
 
@@ -55,10 +47,6 @@ PART = 4096
 HASHES = 1 << 16
 #: Fingerprints of a task that sends them to their anchors.
 SPREAD_ROWS = 20_000
-#: For near_copies: fingerprints a text, bits of one within which texts are candidates, and standard errors allowed.
-SIGNATURE = 5
-RADIUS = 7
-SLACK = 1.0
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -243,34 +231,23 @@ def _compared(threshold: int):
 
 
 def links(distinct: DataFrame, n: int, blocks: int | None = None, threshold: int = THRESHOLD) -> DataFrame:
-    """Edges (a, b) of a graph over distinct fingerprints with the components of the link graph; each edge is a link.
-
-    `distinct` has `fp`, or `node` (what edges are between) and `fps` (the same number of fingerprints for each node).
-    """
+    """Edges (a, b) of a graph over distinct fingerprints with the components of the link graph; each edge is a link."""
     blocks = blocks or (4 if n <= LARGE else 2 if threshold < 6 else 3)
-    several = "fps" in distinct.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 4096):
-                rows = b.slice(k, 4096)
-                if several:
-                    node, fps = rows.column("node"), rows.column("fps").flatten().to_numpy().reshape(rows.num_rows, -1)
-                else:
-                    node, fps = rows.column("fp"), rows.column("fp").to_numpy()[:, None]
-                for seed in range(fps.shape[1]):
-                    anchor, at, is_home = anchors(np.ascontiguousarray(fps[:, seed]).view(np.uint64), blocks, threshold)
-                    out = {"anchor": pa.array(anchor * fps.shape[1] + seed), "fp": pa.array(fps[at, seed]), "home": pa.array(is_home)}
-                    yield pa.record_batch(out | ({"node": node.take(pa.array(at))} if several else {}))
-
-    schema = "anchor long, fp long, home boolean" + ", node long" * several
+                fp = b.slice(k, 4096).column("fp").to_numpy()
+                anchor, at, is_home = anchors(fp.view(np.uint64), blocks, threshold)
+                yield pa.record_batch({"anchor": pa.array(anchor), "fp": pa.array(fp[at]), "home": pa.array(is_home)})
+
     # few tasks may hold all fingerprints, each of which becomes dozens of rows here
-    sent = distinct.select(*(("node", "fps") if several else ("fp",))).repartition(max(1, n // SPREAD_ROWS)).mapInArrow(spread, schema)
+    sent = distinct.select("fp").repartition(max(1, n // SPREAD_ROWS)).mapInArrow(spread, "anchor long, fp long, home boolean")
     # home members are one per fingerprint and block; anchors with many are split into parts, by a table that stays distributed
     crowded = sent.filter("home").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
     parts = materialize(crowded.select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "simhash-crowded")
     cols = [c for c in sent.columns if c != "home"]
-    mine = F.pmod(F.xxhash64(F.col("node" if several else "fp")), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     # a home member belongs to one part, where it is compared as home; it passes all other parts as a member
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), (F.col("home") & (p == mine)).alias("home")))
     one = F.array(F.struct(F.lit(0).alias("part"), F.col("home").alias("home")))
@@ -317,51 +294,3 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     smallest = group.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = group.join(smallest, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def bits_apart(similarity: float, bits: int, slack: float = SLACK) -> int:
-    """Bits of `bits` in which fingerprints of sets of equal size with a Jaccard similarity differ, and `slack` standard errors more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-
-
-def near_copies(df: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """All rows and columns of df, in a struct `row`, and `stays`: whether the row is the one that stands for its group.
-
-    A group is what links of texts with about `similarity` of their shingles in common reach. Of a group the
-    row with the smallest doc_id stays (null ids come last, and of equal ids one row stays).
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            said = b.column("row").field(at).to_pylist()
-            fps = np.array([signature(t, shingle, SIGNATURE) for t in said], np.uint64).reshape(-1, SIGNATURE)
-            sent = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * SIGNATURE, pa.int32()), pa.array(fps.view(np.int64).ravel()))
-            yield pa.record_batch([b.column("row"), sent], names=["row", "fps"])
-
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    schema = T.StructType([*packed.schema.fields, T.StructField("fps", T.ArrayType(T.LongType()))])
-    marked = packed.mapInArrow(run, schema)
-    rows = materialize(marked.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "fps", F.xxhash64("fps").alias("node"), F.monotonically_increasing_id().alias("place")), "simhash-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
-    nodes = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps"), F.min(order).alias("low"), F.count("*").alias("n")), "simhash-nodes")
-    found = links(nodes.select("node", "fps"), nodes.count(), threshold=RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"f{c}"))
-    differ = F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    near = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", differ.alias("bits"))
-    near = near.filter(F.aggregate("bits", F.lit(0), lambda s, x: s + x) <= bits_apart(similarity, 64 * SIGNATURE))
-    near = materialize(near.select("a", "b", (F.get("bits", F.lit(0)) <= RADIUS).alias("first")), "simhash-near")
-    # most groups are joined by their first fingerprints; of the other links those are left that join such groups
-    roots = components(near.filter("first").select("a", "b"))
-    of = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"r{c}"))
-    rest = near.filter("not first").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    above = components(rest.filter("a <> b").distinct()).select(F.col("fp").alias("low_root"), F.col("root").alias("high_root"))
-    group = nodes.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("low_root", F.coalesce("root", "node"))
-    group = group.join(above, "low_root", "left").select("node", "low", "n", F.coalesce("high_root", "low_root").alias("root"))
-    first = group.groupBy("root").agg(F.min("low").alias("first"), F.sum("n").alias("size")).filter("size > 1")
-    # only groups of several rows are joined with the rows
-    chosen = group.join(first, "root").select("node", F.col("first.place").alias("first"))
-    return rows.join(chosen, "node", "left").select("row", F.coalesce(F.col("first") == F.col("place"), F.lit(True)).alias("stays"))
