@@ -60,12 +60,17 @@ def funnel(df: DataFrame, gates: dict[str, Column], keys: list[str] | None = Non
     return df.groupBy(*(keys or [])).agg(*out)
 
 
+def over_sets(df: DataFrame, by: str, out: str, agg: list[Column]) -> DataFrame:
+    """Aggregates over all rows, as `all`, and for each value of a column, in one pass (grouping sets)."""
+    sets = df.groupingSets([[F.col(by)], []], F.col(by)).agg(F.grouping(by).alias("__all"), *agg)
+    return sets.withColumn(out, F.when(F.col("__all") == 1, "all").otherwise(F.col(by).cast("string"))).drop("__all", *([by] if by != out else []))
+
+
 def any_of_k(df: DataFrame, keys: list[str], ok: Column, split: str | None = None) -> DataFrame:
-    """Share of keys with any success and mean successes a key, over all and by split (grouping sets)."""
+    """Share of keys with any success and mean successes a key, over all and by split."""
     each = df.groupBy(*keys, *([split] if split else [])).agg(F.max(ok.cast("int")).alias("any_ok"), F.sum(ok.cast("int")).alias("n_ok"))
     agg = [F.count("*").alias("n"), F.avg("any_ok").alias("rescue_rate"), F.avg("n_ok").alias("mean_ok")]
-    total = each.agg(*agg).withColumn("split", F.lit("all"))
-    return total.unionByName(each.groupBy(F.col(split).alias("split")).agg(*agg)) if split else total
+    return over_sets(each, split, "split", agg) if split else each.agg(*agg).withColumn("split", F.lit("all"))
 
 
 def pool_density(df: DataFrame, keys: list[str], clean: Column, dirty: Column, go_at: float = 0.5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Resumable work in batch form: chunks, early stop, caches, budgets, manifests."""
+"""Resumable work in batch form: chunks, early stop, budgets, manifests."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import hash_rank
-from .rows import missing
 
 CHUNK = 48
 
@@ -23,17 +22,6 @@ def gather_prefix(df: DataFrame, key: str, ok: Column, target: int, seed: str, c
     return ranked.crossJoin(F.broadcast(cut)).filter(F.col("cut").isNull() | (F.col("position") <= F.col("cut"))).drop("cut", "__ok")  # one row
 
 
-def cache_put(cache: DataFrame, scored: DataFrame, least_k: int = 16) -> DataFrame:
-    """Cache rows (key, k, n, clean_score, version) with the new complete ones; known keys stay."""
-    good = scored.filter((F.col("k") >= least_k) & (F.col("n") == F.col("k")) & F.col("clean_score").isNotNull())
-    return cache.unionByName(missing(good, cache, ["key", "version"]))
-
-
-def to_score(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests that the cache can't answer."""
-    return missing(requests, cache, ["key", "version"])
-
-
 def budget_fence(usage: DataFrame, order: list[str], cost: Column, limit: float, warn: float = 0.8, day: str | None = None) -> DataFrame:
     """Running cost, state ok / warn / stop, and rows up to the first stop.
 

@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Hex digits of a hash that name a bucket: 4,096 buckets.
 BUCKET_DIGITS = 3
 #: Ranges of values of a numeric column.
 RANGES = 256
+#: Distinct values that one task orders.
+ONE_TASK = 100_000
 
 
 def content_id(*parts: Column, digits: int = 12, sha: int = 1, sep: str = "\n") -> Column:
@@ -79,9 +83,22 @@ def sum_before(df: DataFrame, col: str, n: str, out: str, by: list[str] | None =
     return placed.withColumn("__in", F.coalesce(inner, F.lit(0))).join(offsets, [*keys, "__range"]).withColumn(out, F.col("__in") + F.col("__off")).drop("__in", "__off", "__range")
 
 
+def rank_values(counts: DataFrame, col: str, n: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Adds to counts by value (rows differ in (by, col)) the mean rank of the rows behind each: ties share theirs.
+
+    `counts` should be a written table, as it is looked at more than once. Up to ONE_TASK rows are ordered in one task, more in ranges.
+    """
+    keys = by or []
+    if counts.count() <= ONE_TASK:
+        sums = F.sum(n).over(Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1))
+        placed = counts.withColumn("__before", F.coalesce(sums, F.lit(0)))
+    else:
+        placed = sum_before(counts, col, n, "__before", keys)
+    return placed.withColumn(out, F.col("__before") + (F.col(n) + 1) / 2.0).drop("__before")
+
+
 def average_rank(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
     """1-based rank with ties sharing their mean rank, from counts by (numeric) value: no row is sorted twice."""
     keys = by or []
-    counts = df.groupBy(*keys, col).agg(F.count("*").alias("__n"))
-    ranks = sum_before(counts, col, "__n", "__before", keys).withColumn(out, F.col("__before") + (F.col("__n") + 1) / 2.0).drop("__n", "__before")
-    return df.join(ranks, [*keys, col])
+    counts = written(df.groupBy(*keys, col).agg(F.count("*").alias("__n")), "value-counts")
+    return df.join(rank_values(counts, col, "__n", out, keys).drop("__n"), [*keys, col])

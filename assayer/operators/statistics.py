@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import corr, mcnemar, safe_ratio
-from .ranking import average_rank
+from ..sources.shared import written
+from .aggregates import over_sets
+from .ranking import rank_values
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), corr(F.col(x), F.col(y)).alias("r"))
+    return df.groupBy(*(by or [])).agg(*_pearson(x, y))
+
+
+def _pearson(x: str, y: str) -> list[Column]:
+    return [F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), corr(F.col(x), F.col(y)).alias("r")]
+
+
+def pearson_sets(df: DataFrame, x: str, y: str, by: str, out: str = "grp") -> DataFrame:
+    """out, n, r over all rows (`all`) and for each value of `by`, in one pass."""
+    return over_sets(df, by, out, _pearson(x, y))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Pearson over average ranks of the complete pairs."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(by or []), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = average_rank(average_rank(both, "__x", "__rx", by), "__y", "__ry", by)
-    return ranked.groupBy(*(by or [])).agg(F.count("*").alias("n"), corr(F.col("__rx"), F.col("__ry")).alias("rho"))
+    """Pearson over average ranks of the complete pairs, from counts by pair of values: rows are read once and never joined."""
+    keys = by or []
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__n"))
+    pairs = written(both, "pair-counts")
+    for c in ("__x", "__y"):
+        counts = written(pairs.groupBy(*keys, c).agg(F.sum("__n").alias("__m")), "value-counts")
+        pairs = pairs.join(rank_values(counts, c, "__m", f"{c}r", keys).drop("__m"), [*keys, c])
+    n, a, b = F.sum("__n"), F.col("__xr"), F.col("__yr")
+    mean = (n + 1) / 2.0
+    spread = lambda u, v: F.sum(F.col("__n") * u * v) - n * mean * mean
+    sums = pairs.groupBy(*keys).agg(F.coalesce(n, F.lit(0)).alias("n"), spread(a, b).alias("__ab"), spread(a, a).alias("__aa"), spread(b, b).alias("__bb"))
+    varied = (F.col("__aa") > 0) & (F.col("__bb") > 0)
+    return sums.select(*keys, "n", F.when(varied, F.col("__ab") / (F.sqrt("__aa") * F.sqrt("__bb"))).alias("rho"))
 
 
 def auc(df: DataFrame, score: str, label: Column, undefined: float | None = 0.5) -> DataFrame:
-    """Rank-sum AUC; ties count half. Without both classes the value is `undefined` (0.5; the pairwise form has 0)."""
-    ranked = average_rank(df.filter(F.col(score).isNotNull()).withColumn("__y", label.cast("int")), score, "__r")
-    out = ranked.agg(F.sum("__y").alias("n_pos"), F.sum(1 - F.col("__y")).alias("n_neg"), F.sum(F.col("__r") * F.col("__y")).alias("s"))
+    """Rank-sum AUC from counts by score; ties count half. Without both classes the value is `undefined` (0.5; the pairwise form has 0)."""
+    counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__n"), F.sum(label.cast("int")).alias("__pos"), F.count(label).alias("__known"))
+    ranked = rank_values(written(counts, "score-counts"), "__s", "__n", "__r")
+    out = ranked.agg(F.sum("__pos").alias("n_pos"), F.sum(F.col("__known") - F.col("__pos")).alias("n_neg"), F.sum(F.col("__r") * F.col("__pos")).alias("s"))
     value = F.try_divide(F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0)))
     return out.select("n_pos", "n_neg", F.coalesce(value, F.lit(undefined)).alias("auc"))
 
@@ -39,19 +63,31 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, b: int = 2000, alpha: floa
 
     Weights: a uniform number against the Poisson(1) distribution up to 6. The md5 of (seed, key), taken
     once a row, gives two numbers x and y, and x + i * y modulo a prime is the uniform number of resample i:
-    any two resamples are independent, which is what quantiles over resamples need.
+    any two resamples are independent, which is what quantiles over resamples need. A task adds up b weights and b weighted
+    sums over its rows and sends these alone, so that what is shuffled doesn't grow with the rows.
     """
     cdf, p, total = [], 0.36787944117144233, 0.0
     for k in range(6):
         total += p
         cdf.append(total)
         p /= k + 1
+    bounds = np.array(cdf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, sums, steps = np.zeros(b), np.zeros(b), np.arange(b, dtype=np.int64)
+        for batch in batches:
+            v, x, y = (batch.column(c).to_numpy() for c in ("v", "x", "y"))
+            for at in range(0, len(v), 512):
+                part = slice(at, at + 512)
+                w = np.searchsorted(bounds, (x[part, None] + steps * y[part, None]) % PRIME / float(PRIME), side="right")
+                weights += w.sum(axis=0)
+                sums += v[part] @ w
+        yield pa.record_batch([pa.array(steps), pa.array(weights), pa.array(sums)], names=["i", "w", "s"])
+
     md5 = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     part = lambda at: F.conv(F.substring(md5, at, 8), 16, 10).cast("long")
-    per = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), part(1).alias("x"), part(9).alias("y")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    u = (F.col("x") + F.col("i") * F.col("y")) % PRIME / float(PRIME)
-    w = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    means = per.withColumn("w", w).groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    per = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), part(1).alias("x"), part(9).alias("y")).mapInArrow(run, "i long, w double, s double")
+    means = per.groupBy("i").agg(F.try_divide(F.sum("s"), F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     place = F.row_number().over(Window.orderBy("m")) - 1  # b rows
     lo, hi = int(alpha / 2 * (b - 1)), int((1 - alpha / 2) * (b - 1))
     return means.withColumn("p", place).agg(F.max(F.when(F.col("p") == lo, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == hi, F.col("m"))).alias("high"))

@@ -286,9 +286,7 @@ def flat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("D-1 D-17", f"WITH {C} SELECT coalesce(flag, 'all') AS grp, count(*) AS n, round(corr(qty, score), 6) AS r FROM c GROUP BY GROUPING SETS ((), (flag))")
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir)
-    out = S.pearson(c, "qty", "score").withColumn("grp", F.lit("all")).unionByName(S.pearson(c, "qty", "score", ["flag"]).withColumnRenamed("flag", "grp"))
-    return out.withColumn("r", r6(F.col("r")))
+    return S.pearson_sets(candidates(spark, sf_dir), "qty", "score", "flag").withColumn("r", r6(F.col("r")))
 
 
 @query("D-2 D-15", """WITH v AS (SELECT n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM v)

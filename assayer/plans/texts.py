@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import facts, judge, patterns as P, rules, vectors
 from ..functions import text as X
 from ..functions.registry import HashScorer
+from ..operators.aggregates import over_sets
 from ..sources import html, packaging, tables
 from ..sources.shared import shared_path
 from .base import long, query, r6, table
@@ -336,7 +337,7 @@ def rewrite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = lambda c: rules.has_rag_style(F.col(c), P.RAG_STYLE_LATIN, dump=False)
     f = d.select("lang", flag("text").alias("b"), flag("after").alias("a"))
     agg = [F.count("*").alias("n"), F.count_if("b").alias("n_before"), F.count_if("a").alias("n_after")]
-    return f.agg(*agg).withColumn("grp", F.lit("all")).unionByName(f.groupBy(F.col("lang").alias("grp")).agg(*agg))
+    return over_sets(f, "lang", "grp", agg)
 
 
 @query("§2.10 (drag)", """WITH e AS (SELECT vec_id // 5 AS reply, vec_id % 5 AS place, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),

@@ -17,6 +17,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def committed(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders of a glob pattern that Spark has written in full, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode: str = "tolerant") -> DataFrame:
     """JSON lines with a fixed schema; blank lines are skipped and a missing path is an empty table.
 

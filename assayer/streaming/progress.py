@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import committed
+
 
 def file_stream(spark: SparkSession, source: str, schema, files_per_batch: int) -> DataFrame:
     """A stream over a folder of Parquet files, or over a single one."""
@@ -53,16 +55,9 @@ def _idle(query) -> bool:
     return p is not None and p["numInputRows"] == 0 and not query.status["isDataAvailable"]
 
 
-def committed(spark: SparkSession, out: str) -> list[str]:
-    """Paths of the batches that are written in full."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/_SUCCESS")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(f.getPath().getParent().toString() for f in found or [])
-
-
 def done(spark: SparkSession, out: str, ok: str) -> tuple[int, int]:
     """Rows and successes committed so far."""
-    paths = committed(spark, out)
+    paths = committed(spark, f"{out}/batch=*")
     if not paths:
         return 0, 0
     row = spark.read.parquet(*paths).agg(F.count("*").alias("n"), F.count_if(F.col(ok)).alias("k")).first()
