@@ -239,7 +239,7 @@ def settled_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", judge.settled_vote(a, b, d).alias("vote"))
 
 
-@query("G-25 G-28 S-2", """WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'score: ' || (event_id % 17) || ' junk' WHEN event_id % 4 = 1 THEN '```json {"score": ' || (event_id % 13) || '}```' WHEN event_id % 4 = 2 THEN 'none' ELSE '{"score": "' || (event_id % 9) || '"' END AS raw FROM events)
+@query("G-25 G-28", """WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'score: ' || (event_id % 17) || ' junk' WHEN event_id % 4 = 1 THEN '```json {"score": ' || (event_id % 13) || '}```' WHEN event_id % 4 = 2 THEN 'none' ELSE '{"score": "' || (event_id % 9) || '"' END AS raw FROM events)
 SELECT event_id, CASE WHEN event_id % 4 = 2 THEN NULL ELSE least(10, try_cast(regexp_extract(raw, 'score"?\\s*[:=]\\s*"?([0-9]+)', 1) AS DOUBLE)) END AS score FROM e""")
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
@@ -352,12 +352,7 @@ def drag_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("reply", r6(F.col("d.drag")).alias("drag"), r6(F.col("d.copy_share")).alias("copy_share"))
 
 
-@query("I-6", "SELECT arg_max(event_type, event_id) AS line FROM events WHERE event_type LIKE 'p%'")
-def latest_log_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter(F.col("event_type").rlike("^p")).agg(F.max_by("event_type", "event_id").alias("line"))
-
-
-@query("I-1 I-7 I-8 S-4 S-5 (stream)", "SELECT event_type, count(*) AS n, count(*) FILTER (value >= 50) AS n_ok FROM events GROUP BY event_type")
+@query("I-1 S-4 S-5 (stream)", "SELECT event_type, count(*) AS n, count(*) FILTER (value >= 50) AS n_ok FROM events GROUP BY event_type")
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts from a resumable stream in file batches."""
     from ..streaming.progress import run_available
@@ -368,7 +363,7 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 
 
-@query("S-1 S-3 S-4", "SELECT item_id, text FROM benchmark")
+@query("S-1 S-4", "SELECT item_id, text FROM benchmark")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "jsonl")
     tables.write_jsonl(table(spark, sf_dir, "benchmark"), path)

@@ -34,13 +34,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode:
     return spark.read.schema(schema).option("mode", {"tolerant": "DROPMALFORMED", "strict": "FAILFAST"}[mode]).json(path)
 
 
-def torn_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The lines that don't parse."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
-    return lines.withColumn("p", parsed).filter(F.col(f"p.{CORRUPT}").isNotNull()).select("value")
-
-
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Atomic by Spark's commit protocol; an empty table is valid. mode append adds files."""
     df.write.mode(mode).json(path)
@@ -80,13 +73,6 @@ def metrics_from_report(spark: SparkSession, path: str, patterns: dict[str, str]
     return out
 
 
-def latest_matching_line(spark: SparkSession, path: str, pattern: str, tail_bytes: int | None = 131072) -> DataFrame:
-    """The last line that matches, among the last so many characters of a log."""
-    text = spark.read.text(path, wholetext=True).select((F.substring("value", -tail_bytes, tail_bytes) if tail_bytes else F.col("value")).alias("v"))
-    lines = text.select(F.posexplode(F.split("v", "\n")).alias("pos", "line")).filter(F.col("line").rlike(pattern))
-    return lines.agg(F.max_by("line", "pos").alias("line"))
-
-
 def latest_checkpoint(paths: DataFrame, path: str = "path") -> DataFrame:
     """The path with the largest number behind `checkpoint-`."""
     step = F.regexp_extract(path, r"checkpoint-(\d+)/?$", 1).try_cast("long")

@@ -80,6 +80,18 @@ def live_counts(stream: DataFrame, by: str):
     return stream.groupBy(by).agg(F.count("*").alias("n"))
 
 
+def latest_counts(spark: SparkSession, counts: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """The whole counts after the last batch: each batch writes a table of its own, and the latest complete one counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    paths = committed(spark, f"{out}/batch=*")
+    latest = max(paths, key=lambda p: int(p.rsplit("=", 1)[1]), default=None)
+    return spark.read.schema(counts.schema).parquet(latest) if latest else spark.createDataFrame([], counts.schema)
+
+
 def windowed_counts(stream: DataFrame, ts: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Extension: counts by event-time window with a watermark."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size)).agg(F.count("*").alias("n"))

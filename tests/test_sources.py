@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.sources import html, packaging, sheets, tables
+from assayer.sources import html, lines, packaging, sheets, tables
 from assayer.streaming import progress
 
 
@@ -14,7 +14,7 @@ def test_jsonl_modes(spark, tmp_path):
     p.write_text('{"k": 1}\n\n{"k": 2}\n{"k": 3', encoding="utf-8")
     assert sorted(r.k for r in tables.read_jsonl(spark, str(p), "k long").collect()) == [1, 2]
     assert tables.read_jsonl(spark, str(tmp_path / "none"), "k long").count() == 0
-    assert [r.value for r in tables.torn_lines(spark, str(p), "k long").collect()] == ['{"k": 3']
+    assert [r.value for r in lines.scan(spark, str(p), "k long")[1].collect()] == ['{"k": 3']
     with pytest.raises(Exception, match="MALFORMED"):
         tables.read_jsonl(spark, str(p), "k long", mode="strict").collect()
 
@@ -101,5 +101,5 @@ def test_gather_stops_at_target(spark, tmp_path):
 
 def test_latest_line_and_log(spark, tmp_path):
     (tmp_path / "l.log").write_text("step 1\nnoise\nstep 2\nend\n", encoding="utf-8")
-    assert tables.latest_matching_line(spark, str(tmp_path / "l.log"), "^step").first().line == "step 2"
+    assert lines.latest_matching(spark, str(tmp_path / "l.log"), "^step").first().value == "step 2"
     assert "| a |" in tables.markdown(spark.createDataFrame([(1,)], "a int"))
