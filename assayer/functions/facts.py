@@ -141,8 +141,13 @@ def recall(gold: Column, found: Column) -> Column:
     return F.when(F.size(gold) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(gold, found)) / F.size(gold))
 
 
-def same_numbers(a: Column, b: Column) -> Column:
-    return number_facts(a) == number_facts(b)
+def same_numbers(a: Column, b: Column, **patterns: str) -> Column:
+    return number_facts(a, **patterns) == number_facts(b, **patterns)
+
+
+def polarity_fits(text: Column, pool: Column, **sets) -> Column:
+    """No conclusion that a pool lacks; a pool without conclusions can't tell. Numbers may be derived, so they don't count."""
+    return (F.size(pool["pol"]) == 0) | (F.size(F.array_except(masked_facts(text, **sets)["pol"], pool["pol"])) == 0)
 
 
 def anchor_text(pool: Column) -> Column:

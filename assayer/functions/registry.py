@@ -45,11 +45,11 @@ class HashScorer:
         return rows.withColumn("score", F.when(h % self.fail != 0, (h % 101) / 10.0))
 
 
-def register_sql(spark: SparkSession) -> None:
-    """SQL names for functions that Spark has no built-in for."""
+def register_sql(spark: SparkSession, marks: dict[str, list[str]] | None = None) -> None:
+    """SQL names for functions that Spark has no built-in for. marks: other marks for rag_spans, without the list of documents."""
     from . import text
-    from .rules import RAG_SPANS, RagSpans
+    from .rules import rag_spans
 
     for name, f in (("nfkc", text.nfkc), ("longest_share", text.longest_share), ("match_ratio", text.match_ratio)):
         spark.udf.register(name, f)
-    spark.udtf.register("rag_spans", F.udtf(RagSpans, returnType=RAG_SPANS))
+    spark.udtf.register("rag_spans", rag_spans(marks, dump=marks is None))

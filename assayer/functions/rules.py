@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import facts, patterns as P
-from .text import degeneration, degeneration_input, extract_references, length_penalty, let, mask_facts, match_ratio, nfkc_ascii, parse_diagnostic, parse_think_answer, repeat_penalty, sentences, strict_tags, strip, text0, copy_signal
+from .text import degeneration, degeneration_input, extract_references, length_penalty, let, mask_facts, match_ratio, nfkc_ascii, parse_diagnostic, parse_think_answer, repeat_penalty, sentences, strict_tags, strip, surgery, text0, copy_signal
 
 
 def _or(parts: list[Column]) -> Column:
@@ -53,7 +53,7 @@ def has_rag_style(think: Column, marks: dict[str, list[str]] | None = None, dump
 
 
 class RagSpans:
-    """UDTF body: rows (begin, end, text, kind) of a text's marks.
+    """UDTF body: rows (begin, end, text, kind) of a text's marks; `rag_spans` makes one of other marks.
 
     A span inside a longer one of its kind is dropped: spans of a kind are scanned by
     begin and descending end, and one that ends before the furthest end so far lies inside.
@@ -62,6 +62,7 @@ class RagSpans:
     """
 
     LISTED = 8
+    MARKS, DUMP = P.RAG_STYLE, True
 
     def listed(self, think: str) -> Iterator[tuple[int | None, int | None, str, str]]:
         alone: list[str] = []
@@ -82,7 +83,7 @@ class RagSpans:
 
     def eval(self, think: str) -> Iterator[tuple[int, int, str, str]]:
         out = []
-        for kind, pats in P.RAG_STYLE.items():
+        for kind, pats in self.MARKS.items():
             flags = re.I if kind in P.RAG_STYLE_ANY_CASE else 0
             found = {m.span() for p in pats for m in re.finditer(p, think or "", flags)}
             reach = -1
@@ -91,12 +92,37 @@ class RagSpans:
                     out.append((begin, end, think[begin:end], kind))
                     reach = end
         yield from sorted(out)
-        yield from self.listed(think or "")
+        if self.DUMP:
+            yield from self.listed(think or "")
 
 
 RAG_SPANS = "begin: int, end: int, text: string, kind: string"
 
 
+def rag_spans(marks: dict[str, list[str]] | None = None, dump: bool = True):
+    """A table function of a text: its spans, for a lateral join. Rows travel as Arrow batches."""
+
+    class Spans(RagSpans):
+        MARKS, DUMP = P.RAG_STYLE if marks is None else marks, dump
+
+    return F.udtf(Spans, returnType=RAG_SPANS, useArrow=True)
+
+
+def has_trace(judged: Column, text: Column, cuts: list[str] | None = None) -> Column:
+    """A judge has named traces, or surgery changes the text."""
+    return (F.size(F.coalesce(judged, F.array().cast("array<string>"))) > 0) | (surgery(text, cuts) != text0(text))
+
+
+def residual(weight: Column, masked: Column, customer: Column, qa: Column) -> Column:
+    """A reply that still has something to rewrite."""
+    return (weight > 0) | (masked > 0.35) | customer | qa
+
+
+def repaired_well(repaired: Column, original: Column, least: float = 0.60, **numbers: str) -> Column:
+    """A repair that keeps all numbers and enough of the length."""
+    return facts.same_numbers(repaired, original, **numbers) & (F.length(text0(repaired)) >= least * F.greatest(F.lit(1), F.length(text0(original))))
+
+
 def trace_counts(think: Column, copy_ratio: Column, frozen: bool = False) -> Column:
     """struct<version, explicit_ref, verbatim_copy, ref_enumeration, policy_source>.
 

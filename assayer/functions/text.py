@@ -24,7 +24,7 @@ def text0(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at the two ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(P.WHITE_SPACE))
 
 
 def compact(c: Column) -> Column:
@@ -287,8 +287,8 @@ def numbered(sents: Column) -> Column:
 
 
 def start_bigram(sentence: Column) -> Column:
-    """First two characters of a sentence after its numbering."""
-    return F.substring(F.regexp_replace(strip(sentence), r"^(?:[0-9]+[.、)）]|[（(][0-9]+[)）]|[-*•])\s*", ""), 1, 2)
+    """First two characters of a sentence after its numbering; empty where nothing follows."""
+    return F.substring(F.regexp_replace(strip(sentence), "(?U)" + P.NUMBERING, ""), 1, 2)
 
 
 def first_text(*cols: Column) -> Column:

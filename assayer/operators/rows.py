@@ -110,6 +110,17 @@ def require_none(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {df.count()} rows")
 
 
+def control_runs(runs: DataFrame, expected: DataFrame, run: str, key: str, votes: str, score: str, k: int = 3) -> DataFrame:
+    """run, n_keys, n_missing, n_extra, n_bad, comparable: whether each run has just the expected keys, each with k votes and a score."""
+    asked = expected.select(key).distinct()
+    total = asked.agg(F.count("*").alias("__all"))
+    each = runs.groupBy(run, key).agg(F.bool_and(F.coalesce((F.col(votes) == k) & F.col(score).isNotNull(), F.lit(False))).alias("__good"))
+    known = each.join(asked.withColumn("__known", F.lit(True)), key, "left")
+    counts = known.groupBy(run).agg(F.count("*").alias("n_keys"), F.count("__known").alias("__found"), F.count_if(~F.col("__good")).alias("n_bad"))
+    out = counts.crossJoin(F.broadcast(total)).select(run, "n_keys", (F.col("__all") - F.col("__found")).alias("n_missing"), (F.col("n_keys") - F.col("__found")).alias("n_extra"), "n_bad")  # one row
+    return out.withColumn("comparable", (F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.col("n_bad") == 0))
+
+
 def coverage(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """One row: n_missing, n_extra, n_duplicate keys."""
     a, b = expected.select(key).distinct(), found.select(key).distinct()

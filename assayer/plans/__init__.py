@@ -1,9 +1,9 @@
 """Queries over the driver's tables, each with equivalent SQL where SQL can say it."""
 
-from . import analysis, gates, replies, selection, streams, texts
+from . import analysis, gates, guards, replies, selection, streams, texts
 from .base import OPS, QUERIES, SQL
 
-__all__ = ["OPS", "analysis", "gates", "oracle_sql", "queries", "replies", "selection", "streams", "texts"]
+__all__ = ["OPS", "analysis", "gates", "guards", "oracle_sql", "queries", "replies", "selection", "streams", "texts"]
 
 
 def queries() -> dict:

@@ -241,13 +241,13 @@ def cost_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.cost_meter(e, "tag", "user_id", "event_id").withColumn("cost", r6(F.col("cost")))
 
 
-@query("A-22 T-30", """WITH s AS (SELECT source, doc_id, unnest(string_split_regex(text, '[.!?;\\n]+')) AS s FROM documents), b AS (SELECT doc_id % 2 AS side, substr(trim(s), 1, 2) AS bigram FROM s WHERE trim(s) <> ''),
-n AS (SELECT bigram, count(*) AS n_new, count(*) / (SELECT count(*) FROM b WHERE side = 1) AS x FROM b WHERE side = 1 GROUP BY bigram ORDER BY n_new DESC, bigram LIMIT 6),
-o AS (SELECT bigram, count(*) AS n_old, count(*) / (SELECT count(*) FROM b WHERE side = 0) AS y FROM b WHERE side = 0 GROUP BY bigram)
+@query("A-22 T-30", r"""WITH s AS (SELECT source, doc_id, unnest(string_split_regex(text, '[。！？!?\n;；]+')) AS s FROM documents), b AS (SELECT doc_id % 2 AS side, substr(regexp_replace(regexp_replace(s, '^\s+', ''), '^[\s0-9一二三四五六七八九十、.．)）(（]+', ''), 1, 2) AS bigram FROM s),
+k AS (SELECT * FROM b WHERE bigram <> ''), n AS (SELECT bigram, count(*) AS n_new, count(*) / (SELECT count(*) FROM k WHERE side = 1) AS x FROM k WHERE side = 1 GROUP BY bigram ORDER BY n_new DESC, bigram LIMIT 6),
+o AS (SELECT bigram, count(*) AS n_old, count(*) / (SELECT count(*) FROM k WHERE side = 0) AS y FROM k WHERE side = 0 GROUP BY bigram)
 SELECT bigram, n_new, coalesce(n_old, 0) AS n_old, round(x - coalesce(y, 0), 6) AS shift FROM n LEFT JOIN o USING (bigram)""")
 def phrase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[.!?;\n]+", -1)).alias("s")).filter(F.trim("s") != "")
-    b = sents.select((F.col("doc_id") % 2).alias("side"), F.substring(F.trim("s"), 1, 2).alias("bigram"))
+    sents = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.sentences("text")).alias("s"))
+    b = sents.select((F.col("doc_id") % 2).alias("side"), X.start_bigram(F.col("s")).alias("bigram")).filter("bigram <> ''")
     return A.phrase_shift(b.filter("side = 0"), b.filter("side = 1"), "bigram").withColumn("shift", r6(F.col("shift")))
 
 
@@ -289,7 +289,7 @@ def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pearson_sets(candidates(spark, sf_dir), "qty", "score", "flag").withColumn("r", r6(F.col("r")))
 
 
-@query("D-2 D-15", """WITH v AS (SELECT n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM v)
+@query("D-2", """WITH v AS (SELECT n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM v)
 SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -471,13 +471,13 @@ def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("arm", r6(F.col("m")).alias("clean_mean"), r6(F.col("r")).alias("rule_rate"), best.alias("best"))
 
 
-@query("X-13 X-14 X-15 X-16", "SELECT count(*) AS n, count(toxic) AS n_scored, round(avg(toxic), 6) AS mean_known, round(avg(coalesce(toxic, 0)), 6) AS mean_zeros FROM documents LEFT JOIN labels USING (doc_id)")
+@query("X-15 X-16", "SELECT count(*) AS n, count(toxic) AS n_scored, round(avg(toxic), 6) AS mean_known, round(avg(coalesce(toxic, 0)), 6) AS mean_zeros FROM documents LEFT JOIN labels USING (doc_id)")
 def failure_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return d.agg(F.count("*").alias("n"), F.count("toxic").alias("n_scored"), r6(stats.mean0(F.col("toxic"))).alias("mean_known"), r6(F.avg(F.coalesce("toxic", F.lit(0)))).alias("mean_zeros"))
 
 
-@query("I-5 X-36", "SELECT stage, CASE WHEN n IS NULL THEN 'missing' WHEN n < 100 THEN 'incomplete' ELSE 'complete' END AS state FROM (VALUES ('en'), ('de'), ('zh')) s(stage) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) ON lang = stage")
+@query("I-5", "SELECT stage, CASE WHEN n IS NULL THEN 'missing' WHEN n < 100 THEN 'incomplete' ELSE 'complete' END AS state FROM (VALUES ('en'), ('de'), ('zh')) s(stage) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) ON lang = stage")
 def stage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.incremental import stage_manifest as manifest
 

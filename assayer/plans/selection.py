@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import margin_ok
 from ..functions.text import strip
 from ..operators import aggregates as A
 from ..operators import incremental as I
@@ -71,14 +72,14 @@ def strict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W-6 G-13", f"""WITH {C}, f AS (SELECT *, CAST(qty AS INT) % 5 AS burden FROM c),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY burden, pen, score DESC, ln, pk, sk) AS rn FROM f WHERE burden <= 1) WHERE rn = 1),
 j AS (SELECT f.qid, b.ln AS chosen_ln, f.ln AS rejected_ln, f.burden - b.burden AS d_burden, row_number() OVER (PARTITION BY f.qid ORDER BY f.ln, f.pk, f.sk) AS rn FROM f JOIN b USING (qid)
-  WHERE (f.ln, f.pk, f.sk) <> (b.ln, b.pk, b.sk) AND (f.burden - b.burden >= 2 OR (f.burden - b.burden >= 1 AND f.pen - b.pen >= 0.05)) AND f.score BETWEEN b.score * 0.5 AND b.score * 2)
+  WHERE (f.ln, f.pk, f.sk) <> (b.ln, b.pk, b.sk) AND (f.burden - b.burden >= 2 OR (f.burden - b.burden >= 1 AND f.pen * 4 - b.pen * 4 >= 0.12)) AND f.score BETWEEN b.score * 0.5 AND b.score * 2)
 SELECT qid, chosen_ln, rejected_ln, d_burden FROM j WHERE rn = 1""")
 def margin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     f = candidates(spark, sf_dir).withColumn("burden", c("qty").cast("int") % 5)
     out = W.ranked_pairs(
         f, ["qid"], INDEX, c("burden") <= 1, [c("burden"), c("pen"), F.desc("score"), *map(c, INDEX)],
-        lambda ch, rj: ((rj("burden") - ch("burden") >= 2) | ((rj("burden") - ch("burden") >= 1) & (rj("pen") - ch("pen") >= 0.05))) & rj("score").between(ch("score") * 0.5, ch("score") * 2),
+        lambda ch, rj: margin_ok(rj("burden") - ch("burden"), rj("pen") * 4 - ch("pen") * 4) & rj("score").between(ch("score") * 0.5, ch("score") * 2),
         [c(i) for i in INDEX],
     )
     return out.select("qid", "chosen_ln", c("ln").alias("rejected_ln"), (c("burden") - c("chosen_burden")).alias("d_burden"))
@@ -259,7 +260,7 @@ def sample_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sample_with_index(users, "event_id", "user_id", 30, "idx")
 
 
-@query("R-16 R-17 J-8", "SELECT 'leak' AS kind, count(*) AS n FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) AND doc_id % 10 <> 0 UNION ALL SELECT 'no_label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("R-16 J-8", "SELECT 'leak' AS kind, count(*) AS n FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) AND doc_id % 10 <> 0 UNION ALL SELECT 'no_label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def leak_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     leak = R.leaks(d.filter("doc_id % 10 <> 0"), d.filter("doc_id % 10 = 0"), "h").agg(F.count("*").alias("n")).withColumn("kind", F.lit("leak"))
@@ -273,7 +274,7 @@ def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.coverage(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels", "doc_id"), "doc_id")
 
 
-@query("R-19 J-8 X-29", "SELECT conv_id, turn FROM conversations WHERE (conv_id, turn) NOT IN (SELECT conv_id, turn FROM conversations WHERE role = 'user')")
+@query("R-19 J-8", "SELECT conv_id, turn FROM conversations WHERE (conv_id, turn) NOT IN (SELECT conv_id, turn FROM conversations WHERE role = 'user')")
 def resume_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
     return R.missing(c, c.filter("role = 'user'"), ["conv_id", "turn"]).select("conv_id", "turn")
@@ -286,7 +287,7 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").filter(R.quality_gate(sat, res)).select("o_orderkey")
 
 
-@query("R-21 G-20 G-22", f"WITH {C} SELECT qid, ln, pk, sk FROM c WHERE flag = 'N' AND CAST(qty AS INT) % 4 = 0 AND qty / 50 >= 0.6 AND score / 60000 >= 0.7 AND pen <= 0.05")
+@query("R-21", f"WITH {C} SELECT qid, ln, pk, sk FROM c WHERE flag = 'N' AND CAST(qty AS INT) % 4 = 0 AND qty / 50 >= 0.6 AND score / 60000 >= 0.7 AND pen <= 0.05")
 def seed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.rules import seed_gate as gate
 
@@ -372,12 +373,12 @@ def sane_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.sane_progress(prog, expected, "user_id").select("user_id")
 
 
-@query("J-11 J-12", "SELECT item_id, CAST(k AS INT) AS copy_idx FROM benchmark, range(0, 4) t(k)")
+@query("J-12", "SELECT item_id, CAST(k AS INT) AS copy_idx FROM benchmark, range(0, 4) t(k)")
 def replicate_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.replicate(table(spark, sf_dir, "benchmark", "item_id"), 4)
 
 
-@query("S-13 X-32", "SELECT count(*) AS n_rows, bit_xor(('0x' || substr(md5(c_custkey || '|' || c_name), 1, 15))::BIGINT) AS fingerprint FROM customer")
+@query("S-13", "SELECT count(*) AS n_rows, bit_xor(('0x' || substr(md5(c_custkey || '|' || c_name), 1, 15))::BIGINT) AS fingerprint FROM customer")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.concat_ws("|", "c_custkey", "c_name")), 1, 15), 16, 10).cast("long")
     return table(spark, sf_dir, "customer").agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("fingerprint"))

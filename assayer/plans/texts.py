@@ -142,7 +142,7 @@ _CUTS = ["All rights reserved", r"https?://\S+"]
 _HALF = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？!?\n;；]*[。！？!?\n;；]|[^。！？!?\n;；]+$'), lambda s: s), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')"
 
 
-@query("T-19 T-20 T-21 X-9", f"""WITH d AS (SELECT doc_id, {_STRIP.format(x='text')} <> {_cut_sql('text', _CUTS)} AS has_trace, {_masked_sql(_masked_sql(X.NFKC_ASCII_SQL.format(x='text'), [(m, '□') for m in X.MASKS]), [('□+', '□')])} AS m, {_HALF} AS h FROM documents)
+@query("T-19 T-20 T-21", f"""WITH d AS (SELECT doc_id, {_STRIP.format(x='text')} <> {_cut_sql('text', _CUTS)} AS has_trace, {_masked_sql(_masked_sql(X.NFKC_ASCII_SQL.format(x='text'), [(m, '□') for m in X.MASKS]), [('□+', '□')])} AS m, {_HALF} AS h FROM documents)
 SELECT doc_id, has_trace, length(m) AS masked_len, length(array_to_string(h[1 : greatest(1, len(h) // 2)], '')) AS short_len FROM d""")
 def surgery_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -159,7 +159,7 @@ def number_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(n, "|").alias("numbers"))
 
 
-@query("G-21 G-30 X-23", f"WITH j AS (SELECT d.doc_id, {_NUMS.format(x='d.text')} AS a, {_NUMS.format(x='p.text')} AS b FROM documents d JOIN documents p ON d.doc_id = p.doc_id + 20) SELECT doc_id, len(list_filter(a, lambda y: NOT list_contains(b, y))) AS n_introduced, len(list_filter(b, lambda y: NOT list_contains(a, y))) AS n_missing FROM j")
+@query("G-21", f"WITH j AS (SELECT d.doc_id, {_NUMS.format(x='d.text')} AS a, {_NUMS.format(x='p.text')} AS b FROM documents d JOIN documents p ON d.doc_id = p.doc_id + 20) SELECT doc_id, len(list_filter(a, lambda y: NOT list_contains(b, y))) AS n_introduced, len(list_filter(b, lambda y: NOT list_contains(a, y))) AS n_missing FROM j")
 def introduced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = lambda c: facts.number_facts(c, unit=r"[0-9]+(?:\.[0-9]+)?\s*(?:%)?", bare=r"[0-9][0-9,]*(?:\.[0-9]+)?")
     j = _with_previous(spark, sf_dir).withColumn("a", num("text")).withColumn("b", num("ref"))
@@ -183,7 +183,7 @@ def answer_pool_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "turn", "r.in_pool", "r.comparable", "r.reason")
 
 
-@query("G-3 G-4 G-5 G-6 G-7 G-8 G-9 G-10 G-11 G-12")
+@query("G-4 G-5 G-6 G-7 G-8 G-9 G-10 G-11 G-12")
 def candidate_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _replies(spark, sf_dir).filter("role = 'assistant'").withColumn("gold", F.col("role")).withColumn("prompt", F.concat(F.lit(P.REFERENCES_HEAD), F.col("text"), F.lit(P.QUESTION_HEAD)))
     f = rules.candidate_features(r.select("conv_id", "turn", "reply", "prompt", "gold"), "reply", "prompt", "gold")
@@ -269,7 +269,7 @@ def stub_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("item_id").agg(F.count("score").alias("n"), r6(F.avg("score")).alias("clean_score"))
 
 
-@query("S-9 X-18 X-17 X-37", """WITH u AS (SELECT conv_id, min(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id), a AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+@query("X-18 X-17", """WITH u AS (SELECT conv_id, min(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id), a AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
 SELECT u.conv_id, md5(x.text) AS prompt, md5(y.text) AS chosen FROM u JOIN a USING (conv_id) JOIN conversations x ON x.conv_id = u.conv_id AND x.turn = u.t JOIN conversations y ON y.conv_id = a.conv_id AND y.turn = a.t""")
 def messages_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
@@ -296,7 +296,7 @@ def html_lines_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, "\n"))).cast("long").alias("n_lines"))
 
 
-@query("S-14 X-27", "SELECT max(page_id) AS step FROM pages")
+@query("X-27", "SELECT max(page_id) AS step FROM pages")
 def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.concat(F.lit("/run/checkpoint-"), F.col("page_id").cast("string")).alias("path"))
     return tables.latest_checkpoint(p.unionByName(spark.createDataFrame([("/run/checkpoint-best",)], "path string"))).select("step")
@@ -329,7 +329,7 @@ _LATIN = [p for ps in P.RAG_STYLE_LATIN.values() for p in ps]
 _TRACED = lambda x: " OR ".join(f"regexp_matches({x}, '{p}')" for p in _LATIN)
 
 
-@query("X-6 X-21", f"""WITH d AS (SELECT lang, text, {_cut_sql('text', _LATIN)} AS after FROM documents), f AS (SELECT lang, {_TRACED('text')} AS b, {_TRACED('after')} AS a FROM d)
+@query("X-6", f"""WITH d AS (SELECT lang, text, {_cut_sql('text', _LATIN)} AS after FROM documents), f AS (SELECT lang, {_TRACED('text')} AS b, {_TRACED('after')} AS a FROM d)
 SELECT count(*) AS n, count(*) FILTER (b) AS n_before, count(*) FILTER (a) AS n_after, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS grp FROM f GROUP BY GROUPING SETS ((), (lang))""")
 def rewrite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trace flags before and after surgery, over all and by language."""
@@ -385,7 +385,7 @@ def downsampled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.downsample(table(spark, sf_dir, "events"), "event_id", "value")
 
 
-@query("T-26 S-12", "SELECT item_id, '结论：' || array_to_string(list_sort(list_filter(['the ', 'of ', 'and '], lambda w: contains(text, w))), '、') AS anchor FROM benchmark WHERE contains(text, 'the ') OR contains(text, 'of ') OR contains(text, 'and ')")
+@query("T-26", "SELECT item_id, '结论：' || array_to_string(list_sort(list_filter(['the ', 'of ', 'and '], lambda w: contains(text, w))), '、') AS anchor FROM benchmark WHERE contains(text, 'the ') OR contains(text, 'of ') OR contains(text, 'and ')")
 def anchor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"polarity": ["the ", "of ", "and "], "dates": "(?!)", "values": ["(?!)"]}
     b = table(spark, sf_dir, "benchmark").select("item_id", facts.pool_facts(F.array("text"), **sets).alias("pool"))

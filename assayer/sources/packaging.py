@@ -36,6 +36,12 @@ def grpo_rows(df: DataFrame, system: str, prompt: str, canonical: str, gold: str
     return out.withColumn("v1_answers_json", F.to_json("pool")).withColumn("v1_answer_pool_size", F.size("pool")).drop("pool")
 
 
+def residual_rows(df: DataFrame, query: Column, answer: Column, features: dict[str, Column], prompt: Column | None = None) -> DataFrame:
+    """Rows of a pool that is sampled later: query, prompt, answer (also as gold answer), and the features that brought them there."""
+    kept = F.struct(*[v.alias(k) for k, v in features.items()])
+    return df.select(query.alias("query"), (F.lit("") if prompt is None else prompt).alias("user_prompt"), answer.alias("answer"), answer.alias("gold_answer"), kept.alias("source_trace_features"))
+
+
 def read_pool(c: Column) -> Column:
     """An answer pool from JSON; any other text is a pool of one."""
     parsed = F.from_json(c, "array<string>")

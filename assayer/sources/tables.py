@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,9 +60,25 @@ def read_table(spark: SparkSession, path: str, keep: str | None = None, required
     return df.dropna(subset=list(required) or None).dropDuplicates(list(required) or None)
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def fingerprint(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """path, bytes, sha256, n_rows (lines) of each file below a path.
+
+    Spark lists the files; a task reads its files in chunks, so that one of any size is never held whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                fs, at = pa.fs.FileSystem.from_uri(name)
+                h, lines, last = hashlib.sha256(), 0, b"\n"
+                with fs.open_input_stream(at) as data:
+                    while part := data.read(chunk):
+                        h.update(part)
+                        lines, last = lines + part.count(b"\n"), part[-1:]
+                yield pa.record_batch([pa.array([name]), pa.array([size], pa.int64()), pa.array([h.hexdigest()]), pa.array([lines + (last != b"\n")], pa.int64())], names=["path", "bytes", "sha256", "n_rows"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.mapInArrow(run, "path string, bytes long, sha256 string, n_rows long")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -102,7 +123,9 @@ def downsample(df: DataFrame, order: str, value: str, points: int = 60, levels:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small result as a Markdown table; one of more than `limit` rows raises."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join(["---"] * len(df.columns)) + " |"]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
