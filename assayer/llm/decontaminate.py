@@ -25,11 +25,10 @@ at whole. Other columns stay as they are, but for those named as the operator's
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from .common import materialize, named_back, set_apart
 
 WINDOW = 10
@@ -121,9 +120,12 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     chosen = materialize(anchors(listed, frequencies(docs.select(F.col("said").alias("text")), vocabulary)), "decontaminate-anchors")
     blocks = max(1, -(-chosen.count() // BLOCK_ROWS))
     split = docs.select("k1", "k2", tokens(F.col("said")).alias("tokens"))
-    block = lambda b: chosen.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b) if blocks > 1 else chosen
-    found = reduce(DataFrame.unionByName, [matches(split, block(b)) for b in range(blocks)])
-    found = materialize(found, "decontaminate-matches")
+    path = shared_path(docs.sparkSession, "decontaminate-matches")
+    for b in range(blocks):
+        # a block's matches are written before the next one is broadcast, so that one block at a time is held
+        found = matches(split, chosen.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b) if blocks > 1 else chosen)
+        found.write.parquet(f"{path}/block={b}")
+    found = docs.sparkSession.read.schema(found.schema).parquet(*[f"{path}/block={b}" for b in range(blocks)])
     # words hit: each run adds what reaches beyond the runs before it
     spans = found.groupBy("k1", "k2", "begin").agg(F.max("end").alias("end"))
     before = F.max("end").over(Window.partitionBy("k1", "k2").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))

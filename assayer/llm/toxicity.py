@@ -9,7 +9,8 @@ fitted with a prior that speaks for the grammar's usual reading, gives the score
 
 Insults are learned from labels: whole words and word beginnings whose log-odds are
 high and whose support among toxic documents (near copies counted once) can't be chance.
-Of a beginning and its continuation with about the same support the longer one stays.
+Of a beginning and its continuation with about the same support the longer one stays. How unlikely chance must be is
+chosen by folds of the training rows.
 Threats, targets, negations and reports are fixed lists for four languages.
 
 Fitting uses a bounded sample of the labelled rows (TOXIC_ROWS and CLEAN_ROWS expected
@@ -38,8 +39,9 @@ from .common import materialize, small_batches
 
 #: Bounds of the fitting sample, in expected rows.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
-#: A feature of the lexicon has such log-odds, and its support would arise by chance with this probability at most.
-LOG_ODDS, CHANCE = 4.0, 1e-3
+#: A feature of the lexicon has such log-odds, and its support would arise by chance with one of these probabilities at
+#: most: the one that does best where FOLDS parts of the sample are scored by what is learned from the others.
+LOG_ODDS, CHANCES, FOLDS = 4.0, (1e-2, 1e-3, 1e-4), 3
 SAME_SUPPORT = 0.85
 CANDIDATES = 20_000
 PREFIXES = (3, 4, 5, 6)
@@ -233,7 +235,16 @@ def one_of_near_copies(marked: list[tuple[str, list[int]]]) -> list[str]:
     return out
 
 
-def fit_lexicon(rows: DataFrame) -> dict[str, float]:
+def support_for(chance: float, n_pos: int, n_neg: int) -> int:
+    """Toxic documents that a feature needs."""
+    return max(4, math.ceil(math.log(chance) / math.log(n_pos / (n_pos + n_neg))))
+
+
+def log_odds(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
+    return math.log((pos + 0.1) / n_pos) - math.log((neg + 0.1) / n_neg)
+
+
+def fit_lexicon(rows: DataFrame, chance: float) -> dict[str, float]:
     """Features with their log-odds from the sample (h, text, toxic)."""
     toxic = one_of_near_copies([(r["h"], r["marks"]) for r in rows.filter("toxic = 1").select("h", "text").mapInArrow(_marked, "h string, marks array<long>").collect()])
     clean = rows.filter("toxic = 0")
@@ -243,13 +254,52 @@ def fit_lexicon(rows: DataFrame) -> dict[str, float]:
     # at most the sample's rows (TOXIC_ROWS expected): a proven bound for the broadcast
     kept = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in toxic], "h string"))
     used = clean.unionByName(rows.filter("toxic = 1").join(kept, "h")).select("text", "toxic")
-    support = max(4, math.ceil(math.log(CHANCE) / math.log(len(toxic) / (len(toxic) + n_neg))))
     odds = F.log((F.col("pos") + 0.1) / len(toxic)) - F.log((F.col("neg") + 0.1) / n_neg)
     counted = used.mapInArrow(_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counted.filter((F.col("pos") >= support) & (odds >= LOG_ODDS)).select("feature", "pos", odds.alias("odds")).orderBy(F.desc("pos"), "feature").limit(CANDIDATES).collect()
+    found = counted.filter((F.col("pos") >= support_for(chance, len(toxic), n_neg)) & (odds >= LOG_ODDS)).select("feature", "pos", odds.alias("odds")).orderBy(F.desc("pos"), "feature").limit(CANDIDATES).collect()
     return specific({r["feature"]: (r["pos"], r["odds"]) for r in found})
 
 
+def losses(rows: list[tuple[str, str, int]], fold: int) -> list[float]:
+    """Log loss over the rows (h, text, toxic) of a fold, for each of CHANCES, of what is learned from all others."""
+    mine = lambda h: int(h[:8], 16) % FOLDS == fold
+    known, asked = [r for r in rows if not mine(r[0])], [r for r in rows if mine(r[0])]
+    toxic = set(one_of_near_copies([(h, marks(t)) for h, t, y in known if y]))
+    used = [r for r in known if not r[2] or r[0] in toxic]
+    n_pos, n_neg = len(toxic), len(used) - len(toxic)
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for _, t, y in used:
+        counts[y].update(word_features(t))
+    out = []
+    for chance in CHANCES:
+        least = support_for(chance, n_pos, n_neg) if n_pos and n_neg else 1
+        found = [(f, pos, log_odds(pos, counts[0][f], n_pos, n_neg)) for f, pos in counts[1].items() if pos >= least] if n_pos and n_neg else []
+        found = sorted((x for x in found if x[2] >= LOG_ODDS), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
+        own = Lexicon(specific({f: (pos, odds) for f, pos, odds in found}))
+        x = lambda some: np.array([own.features(t) for _, t, _ in some]).reshape(-1, FEATURES)  # noqa: E731, B023
+        w = fit_weights(x(known), np.array([float(r[2]) for r in known]))
+        p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x(asked) @ w[1:], -30, 30))), 1e-9, 1 - 1e-9)
+        y = np.array([float(r[2]) for r in asked])
+        out.append(float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()))
+    return out
+
+
+def choose_chance(rows: DataFrame) -> float:
+    """The chance bound with the least loss over the folds of the sample (h, text, toxic); of equal ones the strictest.
+
+    Each fold is a task that reads the sample, which has TOXIC_ROWS + CLEAN_ROWS expected rows whatever the corpus.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("fold", "h", "text", "toxic")), strict=True)]
+        for fold in sorted({r[0] for r in held}):
+            yield pa.record_batch([pa.array(losses([r[1:] for r in held if r[0] == fold], fold), pa.float64()), pa.array(CHANCES)], names=["loss", "chance"])
+
+    dealt = rows.select(F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"), "h", "text", "toxic").repartitionById(FOLDS, F.col("fold"))
+    found = dealt.mapInArrow(run, "loss double, chance double").groupBy("chance").agg(F.sum("loss").alias("loss")).collect()
+    return min(((r["loss"], r["chance"]) for r in found), default=(0.0, min(CHANCES)))[1]
+
+
 def specific(found: dict[str, tuple[int, float]]) -> dict[str, float]:
     """Without beginnings that a longer feature matches in about as many documents."""
     longest: Counter = Counter()
@@ -281,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[dict[str,
     """Lexicon and weights, learned from the labelled rows for which `allowed` holds."""
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, allowed)
-    lexicon = fit_lexicon(rows)
+    lexicon = fit_lexicon(rows, choose_chance(rows))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(lexicon)
