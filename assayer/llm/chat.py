@@ -11,7 +11,8 @@ begins at row k * PART_TURNS. Every participant of the conversation has a render
 every part, also of those where nothing of theirs is said. Spans are relative to the
 part's text.
 
-Order is by turn (null first), speaker, text. Defined results: a null text
+What is said can't forge turns: in texts and names a mark's opening `<|` is written `< |`, and line ends in names
+are blanks. Order is by turn (null first), speaker, text. Defined results: a null text
 counts as empty and is rendered; a null speaker counts as `unknown`; rows with a null
 conv_id form one conversation; repeated rows are rendered as often as they come;
 conversations of system turns alone give no rows.
@@ -51,7 +52,9 @@ def rotate(df: DataFrame) -> DataFrame:
 
     Input: conv_id, turn, role, text. mask_spans: array<struct<start, end>> in code points.
     """
-    rows = df.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = lambda c, otherwise: F.replace(F.coalesce(c, F.lit(otherwise)), F.lit("<|"), F.lit("< |"))
+    speaker = F.translate(plain("role", "unknown"), "\n\r", "  ")
+    rows = df.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), plain("text", "").alias("text"))
     # conversations that fit one part need no ranks
     about = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("speaker") != "system", F.col("speaker")))).alias("speakers")).select(F.col("conv_id").alias("c"), "n", "speakers")
     same = F.col("conv_id").eqNullSafe(F.col("c"))

@@ -160,7 +160,7 @@ FROM p LEFT JOIN f USING (d)
 """
 
 OP5_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
+WITH c AS (SELECT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10) || chr(13), '  ') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) - 1) // 256 AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) AS place FROM c),
 who AS (SELECT DISTINCT conv_id, speaker AS me FROM t WHERE speaker <> 'system'),
 l AS (SELECT t.conv_id, part, me, place, speaker, body,
