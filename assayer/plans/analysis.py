@@ -87,15 +87,24 @@ def near_dup_vs_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.near_duplicates(asked, held.select(F.col("text").alias("held")), "text", "held").select("conv_id", "turn")
 
 
-@query("J-10 T-9", """WITH w AS (SELECT item_id, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS g FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark) WHERE length(t) >= 5),
-e AS (SELECT item_id, unnest(g) AS gram, len(g) AS m FROM w)
-SELECT a.item_id, b.item_id AS other_id, count(*) AS shared FROM e a JOIN e b ON a.gram = b.gram AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id, a.m, b.m HAVING count(*) >= 0.2 * least(a.m, b.m)""")
+def _gram_sql(name: str, of: str, key: str) -> str:
+    """Distinct 5-grams of the texts of a table, and how many each has."""
+    return rf"""{name} AS (SELECT {key}, unnest(g) AS gram, len(g) AS m FROM (SELECT {key}, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS g FROM (SELECT {key}, regexp_replace(text, '\s+', '', 'g') AS t FROM {of}) WHERE length(t) >= 5))"""
+
+
+_HELD = "(SELECT conv_id * 100 + turn AS turn_id, text FROM conversations UNION ALL SELECT -1 - item_id, text[1 : length(text) // 2] FROM benchmark)"
+
+
+@query("J-10 T-9", f"WITH {_gram_sql('a', 'benchmark', 'item_id')}, {_gram_sql('b', _HELD, 'turn_id')} SELECT item_id, turn_id, count(*) AS shared FROM a JOIN b USING (gram) GROUP BY item_id, turn_id, a.m, b.m HAVING count(*) >= 0.2 * least(a.m, b.m)")
 def gram_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against turns, and against the first halves of items."""
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
-    return J.gram_containment(b, b.withColumnRenamed("item_id", "other_id"), "item_id", "other_id").filter("item_id < other_id")
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), "text")
+    halves = b.select((-1 - F.col("item_id")).alias("turn_id"), F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("text"))
+    return J.gram_containment(b, turns.unionByName(halves), "item_id", "turn_id")
 
 
-@query("J-10 T-9")
+@query("J-10 T-9", f"WITH {_gram_sql('a', 'documents', 'doc_id')}, {_gram_sql('b', 'benchmark', 'item_id')} SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (gram) GROUP BY doc_id, item_id, a.m, b.m HAVING count(*) >= 0.2 * least(a.m, b.m)")
 def gram_containment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents against the benchmark."""
     return J.gram_containment(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id")
