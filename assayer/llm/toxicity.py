@@ -267,13 +267,20 @@ def losses(rows: list[tuple[str, str, int]], fold: int) -> list[float]:
     toxic = set(one_of_near_copies([(h, marks(t)) for h, t, y in known if y]))
     used = [r for r in known if not r[2] or r[0] in toxic]
     n_pos, n_neg = len(toxic), len(used) - len(toxic)
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    least = [support_for(chance, n_pos, n_neg) if n_pos and n_neg else len(used) + 1 for chance in CHANCES]
+    common: Counter = Counter()
     for _, t, y in used:
-        counts[y].update(word_features(t))
+        if y:
+            common.update(word_features(t))
+    # only features that some bound lets through are counted in clean texts, of which there are many more
+    common = Counter({f: k for f, k in common.items() if k >= min(least)})
+    clean: Counter = Counter()
+    for _, t, y in used:
+        if not y:
+            clean.update(word_features(t) & common.keys())
     out = []
-    for chance in CHANCES:
-        least = support_for(chance, n_pos, n_neg) if n_pos and n_neg else 1
-        found = [(f, pos, log_odds(pos, counts[0][f], n_pos, n_neg)) for f, pos in counts[1].items() if pos >= least] if n_pos and n_neg else []
+    for needed in least:
+        found = [(f, pos, log_odds(pos, clean[f], n_pos, n_neg)) for f, pos in common.items() if pos >= needed]
         found = sorted((x for x in found if x[2] >= LOG_ODDS), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
         own = Lexicon(specific({f: (pos, odds) for f, pos, odds in found}))
         x = lambda some: np.array([own.features(t) for _, t, _ in some]).reshape(-1, FEATURES)  # noqa: E731, B023
