@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import facts, rules, vectors
 from ..functions import patterns as P
 from ..functions.registry import register_sql
+from ..operators import aggregates as A
 from ..operators import decisions as D
 from ..operators import joins as J
 from ..operators import rows as R
 from ..operators import selection as W
 from ..operators import statistics as S
-from ..operators.incremental import stale_schema
+from ..operators.incremental import stale_schema, warm_up
 from ..sources import packaging, tables
 from ..sources.shared import shared_path
 from .base import C, candidates, long, query, r6, table
@@ -194,6 +195,34 @@ def combined_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("qid", "ln", "pk", "sk", r6(vectors.combine({"a": 0.5, "b": 0.3, "tax": 0.2})).alias("signal"))
 
 
+@query("A-7", """WITH e AS (SELECT unnest(list_filter([CASE WHEN value < 10 THEN 'low' END, CASE WHEN length(props) > 9 THEN 'long' END, CASE WHEN event_type = 'error' THEN 'err' END], lambda x: x IS NOT NULL)) AS reason FROM events) SELECT reason, count(*) AS n FROM e GROUP BY reason""")
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each reason applies, also beside others."""
+    checks = {"low": F.col("value") < 10, "long": F.length("props") > 9, "err": F.col("event_type") == "error"}
+    return A.histogram(table(spark, sf_dir, "events"), rules.hard_reasons(checks))
+
+
+@query("I-8", f"WITH {C} SELECT qid, ln, pk, sk, CASE WHEN ln <= 2 THEN -1.0 ELSE qty END AS score FROM c")
+def warmed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two calls of a query by rule alone."""
+    score = warm_up(F.col("qty").cast("double"), F.lit(-1.0), F.col("ln") - 1, 2)
+    return candidates(spark, sf_dir).select("qid", "ln", "pk", "sk", score.alias("score"))
+
+
+@query("D-1", f"WITH {C} SELECT status, count(*) AS n, round(corr(tax, score), 6) AS r FROM c GROUP BY status")
+def correlations_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.pearson(candidates(spark, sf_dir), "tax", "score", ["status"]).withColumn("r", r6(F.col("r")))
+
+
+@query("§2.10 (pairs)", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT a.vec_id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS similarity FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+def neighbour_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the next one."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id").select("vec_id", r6(vectors.cosine(F.col("embedding"), F.col("other"))).alias("similarity"))
+
+
 # --- files
 
 
