@@ -249,7 +249,9 @@ def candidate_features(df, text: str, prompt: str, gold: str, query: str | None
     df = df.withColumn("_p", parse_think_answer(text)).withColumn("_refs", extract_references(prompt))
     think, answer, refs, g = F.col("_p.think"), F.col("_p.answer"), F.col("_refs"), F.col(gold)
     asked = F.col(query) if query else F.lit("")
-    df = df.withColumns({"copy_ratio": copy_signal(think, refs), "masked_copy": copy_signal(mask_facts(think), mask_facts(refs)), "degen": degeneration(degeneration_input(think)), "gold_facts": facts.wide_facts(g), "answer_score": answer_drift(answer, g)})
+    # masks run Python for some texts, so they are columns before lambdas look at them
+    df = df.withColumns({"_masked_think": mask_facts(think), "_masked_refs": mask_facts(refs)})
+    df = df.withColumns({"copy_ratio": copy_signal(think, refs), "masked_copy": copy_signal(F.col("_masked_think"), F.col("_masked_refs")), "degen": degeneration(degeneration_input(think)), "gold_facts": facts.wide_facts(g), "answer_score": answer_drift(answer, g)})
     df = df.withColumns({"counts": trace_counts(think, F.col("copy_ratio")), "frozen_counts": trace_counts(think, F.col("copy_ratio"), frozen=True), "standalone": standalone_units(think), "citation_density": citation_density(think)})
     clean_urls = F.regexp_replace(text0(think), unicode(P.OFFICIAL_URL), "")
     df = df.withColumns({

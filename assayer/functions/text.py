@@ -5,6 +5,7 @@ A null text counts as empty unless a function says otherwise.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -42,6 +43,40 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x or ""))
 
 
+@functools.cache
+def not_normal(gap: int = 24) -> str:
+    """A regular expression class of all characters that NFKC may change, alone or with those before them.
+
+    That is what isn't its own NFKC form, what has a combining class, and what a composition may end with. Characters less
+    than `gap` apart are joined to ranges (the class may be larger than needed), but for ASCII and the letters of Latin-1.
+    """
+    marked, points = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3)), [*range(0x80, 0xD800), *range(0xE000, 0x30000)]
+    for c in points:
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            marked.add(int(parts[1], 16))
+        if unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFKC", chr(c)):
+            marked.add(c)
+    ranges: list[list[int]] = []
+    for c in sorted(marked):
+        if ranges and c - ranges[-1][1] < gap and (c < 0xC0 or c > 0x17F) and not ranges[-1][1] < 0xD800 <= c:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc_of_some(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def normal(c: Column | str) -> Column:
+    """Unicode NFKC: texts without a character that it may change stay in the engine, only the others go through Python."""
+    t = text0(c)
+    return F.coalesce(_nfkc_of_some(F.when(t.rlike(not_normal()), t)), t)
+
+
 _WIDE = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　"
 _ASCII = "".join(chr(x) for x in range(0x21, 0x7F)) + " "
 #: The same in SQL; {x} is the text.
@@ -272,13 +307,13 @@ MASKS = (P.OFFICIAL_URL, P.LEDGER_LINE, P.DATE_MASK, P.RATE_MASK, P.DOC_TOKEN_FR
 
 def mask_facts(c: Column | str) -> Column:
     """Facts with one proper wording give way to a box; runs of boxes become one."""
-    return F.regexp_replace(reduce(lambda x, p: F.regexp_replace(x, "(?U)" + p, "□"), MASKS, nfkc_ascii(text0(c))), "□+", "□")
+    return F.regexp_replace(reduce(lambda x, p: F.regexp_replace(x, "(?U)" + p, "□"), MASKS, normal(c)), "□+", "□")
 
 
 def quote_found(quote: Column, text: Column, least: int = 6) -> Column:
     """Whether a quote of some length occurs in a text, white space and width aside."""
-    q = compact(nfkc_ascii(quote))
-    return (F.length(q) >= least) & compact(nfkc_ascii(text)).contains(q)
+    q = compact(normal(quote))
+    return (F.length(q) >= least) & compact(normal(text)).contains(q)
 
 
 def numbered(sents: Column) -> Column:

@@ -138,6 +138,14 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", X.numbered(lines).alias("numbered"))
 
 
+@query("T-21 (NFKC)", "SELECT doc_id, md5(text) AS normal FROM documents")
+def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, every third of them in full-width characters, as NFKC has them."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    wide = F.translate("text", "".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F))))
+    return d.select("doc_id", F.md5(X.normal(F.when(F.col("doc_id") % 3 == 0, wide).otherwise(F.col("text")))).alias("normal"))
+
+
 _CUTS = ["All rights reserved", r"https?://\S+"]
 _HALF = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？!?\n;；]*[。！？!?\n;；]|[^。！？!?\n;；]+$'), lambda s: s), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')"
 
