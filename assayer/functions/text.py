@@ -230,7 +230,7 @@ def length_penalty(c: Column | str, most: int = 2200) -> Column:
 
 
 #: What is masked before degeneration is measured, in order, and by what.
-DEGENERATION_STEPS = [(P.LEDGER_LINE, ""), (P.LEDGER_HEAD, ""), (r"[“”\"'‘’]", ""), (r"[—–－]+", "-"), (r"A\d{5,6}", "⟨F⟩"), (P.DATE_MASK, "⟨D⟩"), (P.DOC_TOKEN_FROZEN, "⟨C⟩"), (P.NUMBER_BARE, "⟨N⟩")]
+DEGENERATION_STEPS = [(P.LEDGER_LINE, ""), (P.LEDGER_HEAD, ""), (P.QUOTES, ""), (P.LONG_DASH, "-"), (P.FORM_NUMBER, "⟨F⟩"), (P.DATE_MASK, "⟨D⟩"), (P.DOC_TOKEN_FROZEN, "⟨C⟩"), (P.NUMBER_BARE, "⟨N⟩")]
 
 
 def degeneration_input(c: Column | str) -> Column:
