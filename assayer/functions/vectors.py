@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import bounded_batches
+
 #: Bytes of query vectors that are broadcast at once.
 BLOCK_BYTES = 64 << 20
+#: Most similarities that are held at once: of some queries and some rows of a batch.
+TILE = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,9 +55,10 @@ def best_cosine(df: DataFrame, asked: Column, key: str, vector: str) -> DataFram
     """key, best: for each row that `asked` picks the largest cosine with any other row (another key) of df.
 
     Queries come in blocks of BLOCK_BYTES, which bounds the broadcast; each block passes once over all vectors (of one
-    length), as matrix products by batch, and each batch sends one row a query. Rows without a key or vector are left out.
+    length), as matrix products of TILE similarities, and each task sends one row a query. Rows without a key or vector are left out.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).filter("k is not null and v is not null")
     queries = df.filter(asked).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).filter("k is not null and v is not null")
     size = queries.agg(F.sum(F.size("v").cast("long") * 8).alias("n")).first()["n"] or 0
@@ -74,9 +79,13 @@ def _searcher(shared):
         for b in batches:
             if not b.num_rows or not len(keys):
                 continue
-            near = queries @ _rows(b.column("v")).T
-            near[keys[:, None] == b.column("k").to_numpy()[None, :]] = -np.inf
-            best = np.maximum(best, near.max(axis=1))
+            own, rows = b.column("k").to_numpy(), _rows(b.column("v"))
+            tall = max(1, TILE // len(own))
+            for at in range(0, len(keys), tall):
+                some = slice(at, at + tall)
+                near = queries[some] @ rows.T
+                near[keys[some, None] == own[None, :]] = -np.inf
+                best[some] = np.maximum(best[some], near.max(axis=1))
         some = np.isfinite(best)
         yield pa.record_batch([pa.array(keys[some], pa.int64()), pa.array(best[some])], names=["k", "best"])
 
