@@ -16,8 +16,8 @@ so no link is lost. Only texts of candidates are shuffled: a bit filter of a fix
 Texts with equal shingle sets are one node (their sets' 128-bit digests are compared). Crowded anchors are split:
 members are dealt into parts, which are compared with each other. A text that many others are compared with is sent to several tasks.
 
-Beyond LARGE rows an anchor is made of two blocks of a fingerprint (22 bits instead of 11), so that fewer unlike texts meet, and
-more fingerprints have anchors to make up for it (144 of them a text instead of 20): both find what the figures above say; only the work differs.
+Which texts are candidates doesn't depend on the size of the input. Beyond LARGE rows only the parts of crowded anchors are larger, so
+that a text passes by fewer of them; parts never change what is linked, as all candidates between different groups are decided.
 
 Defined results: null and blank texts have an empty set and are copies of each other; texts of fewer words than a shingle
 are one shingle; texts of any length are hashed HASHES shingles at a time; of a group the row with the smallest doc_id
@@ -42,14 +42,14 @@ from .common import materialize, small_batches
 from .phrases import _filter, _lets
 from .simhash import _HOME15, HASHES, LOWER, SEED, _forest, _mixed, components
 
-#: Fingerprints of a text whose bits are compared, and how many have anchors: of single blocks, or beyond LARGE rows of pairs of blocks.
-SIGNATURE, ANCHORED, ANCHORED_LARGE = 8, 5, 24
-LARGE = 20_000_000
+#: Fingerprints of a text whose bits are compared, and how many have anchors.
+SIGNATURE, ANCHORED = 8, 5
 BLOCKS = 4
 #: Standard errors of the number of differing bits that a candidate may have.
 SLACK = 2.0
-#: Members of an anchor's part, and links of a text that one task decides.
-PART, LINKS = 2048, 256
+#: Members of an anchor's part (beyond LARGE rows PART_LARGE), and links of a text that one task decides.
+PART, PART_LARGE, LINKS = 2048, 16384, 256
+LARGE = 20_000_000
 #: Nodes of a task that sends them to their anchors.
 SPREAD_ROWS = 20_000
 
@@ -224,7 +224,7 @@ def _compared(likely: int, limit: int, across: bool):
     return compare
 
 
-def _candidates(nodes: DataFrame, n: int, likely: int, limit: int, across: bool, anchored: int, joined: int) -> DataFrame:
+def _candidates(nodes: DataFrame, n: int, likely: int, limit: int, across: bool, part: int) -> DataFrame:
     """Distinct links (a, b), a <= b, that anchors give for nodes (node, fps and, for links across groups, comp)."""
     cols = ["node", *(["comp"] if across else [])]
 
@@ -233,14 +233,14 @@ def _candidates(nodes: DataFrame, n: int, likely: int, limit: int, across: bool,
             for k in range(0, batch.num_rows, 1024):
                 rows = batch.slice(k, 1024)
                 fps = rows.column("fps").flatten().to_numpy().reshape(rows.num_rows, -1)
-                to = anchors(np.ascontiguousarray(fps[:, :anchored]).view(np.uint64), joined)
+                to = anchors(np.ascontiguousarray(fps[:, :ANCHORED]).view(np.uint64), 1)
                 at = np.repeat(np.arange(rows.num_rows), to.shape[1])
                 yield pa.record_batch([pa.array(to.ravel()), *[rows.column(c).take(pa.array(at)) for c in cols], *[pa.array(fps[at, k]) for k in range(SIGNATURE)]], names=["anchor", *cols, *[f"f{k}" for k in range(SIGNATURE)]])
 
     schema = ", ".join(f"{c} long" for c in ("anchor", *cols, *[f"f{k}" for k in range(SIGNATURE)]))
     sent = nodes.select("fps", *cols).repartition(max(1, n // SPREAD_ROWS)).mapInArrow(spread, schema)
-    crowded = sent.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
-    parts = materialize(crowded.select("anchor", F.ceil(F.col("n") / PART).cast("long").alias("parts")), "nearcopies-crowded")
+    crowded = sent.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > part)
+    parts = materialize(crowded.select("anchor", F.ceil(F.col("n") / part).cast("long").alias("parts")), "nearcopies-crowded")
     if parts.limit(1).count():
         # a member belongs to one part (an even slot) and passes all later ones (odd slots)
         mine = F.pmod(F.xxhash64("node"), F.col("parts"))
@@ -299,8 +299,8 @@ def near_copies(df: DataFrame, text: str = "text", shingle: int = 5, similarity:
     spark = df.sparkSession
     small_batches(spark)
     at = df.columns.index(text)
-    how = (ANCHORED_LARGE, 2) if df.count() > LARGE else (ANCHORED, 1)
-    seeds = max(SIGNATURE, how[0])
+    part = PART_LARGE if df.count() > LARGE else PART
+    seeds = SIGNATURE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,13 +317,13 @@ def near_copies(df: DataFrame, text: str = "text", shingle: int = 5, similarity:
     n, bits = nodes.count(), 64 * SIGNATURE
     texts = rows.select(F.col("place").alias("node"), F.col("row")[df.columns[at]].alias("t"))
     likely, limit = bits_apart(similarity, bits, 0), bits_apart(similarity, bits, SLACK)
-    met = materialize(_candidates(nodes, n, likely, limit, False, *how), "nearcopies-met")
+    met = materialize(_candidates(nodes, n, likely, limit, False, part), "nearcopies-met")
     links = met.filter("a <> b")
     first = materialize(_decided(links, texts, shingle, similarity), "nearcopies-first")
     roots = components(first).select(F.col("fp").alias("node"), "root")
     marked = met.filter("a = b").select(F.col("a").alias("node"))
     grouped = materialize(nodes.join(marked, "node").join(roots, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("comp")), "nearcopies-marked")
-    rest = _candidates(grouped, grouped.count(), likely, limit, True, *how).join(links, ["a", "b"], "left_anti")
+    rest = _candidates(grouped, grouped.count(), likely, limit, True, part).join(links, ["a", "b"], "left_anti")
     second = _decided(materialize(rest, "nearcopies-rest"), texts, shingle, similarity)
     found = components(first.unionByName(second)).select(F.col("fp").alias("node"), "root")
     group = nodes.join(found, "node", "left").select("digest", "low", "n", F.coalesce("root", "node").alias("root"))

@@ -148,3 +148,23 @@ def test_two_blocks_an_anchor():
     other = fps.copy()
     other[:, 0] ^= np.uint64(1 << 15)  # the bit that is left out
     assert (N.anchors(other, 1) == one).all()
+
+
+def test_size_of_the_input_changes_no_result(spark, monkeypatch):
+    """Pairs just above the limit, some of which anchors miss, and crowded anchors: the same rows stay beyond LARGE as before it."""
+    rng = random.Random(8)
+    rows = []
+    while len(rows) < 400:
+        base = say(rng, rng.randint(60, 120))
+        other = changed(rng, base, rng.uniform(0.015, 0.03))
+        if 0.8 <= similar(brute(" ".join(base)), brute(" ".join(other))) < 0.83:
+            rows += [" ".join(base), " ".join(other)]
+    base = say(rng, 200)
+    rows += [" ".join(changed(rng, base, 0.01)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), DOCS)
+    stays = []
+    for large, part in ((N.LARGE, N.PART), (0, N.PART), (N.LARGE, 16)):
+        monkeypatch.setattr(N, "LARGE", large)
+        monkeypatch.setattr(N, "PART", part)
+        stays.append(sorted(r["row"].doc_id for r in N.near_copies(docs).filter("stays").collect()))
+    assert stays[0] == stays[1] == stays[2] and len(stays[0]) < 260
