@@ -63,3 +63,16 @@ def test_best_cosine_holds_one_tile(monkeypatch):
     near = queries @ rows.T
     near[np.arange(300), np.arange(300)] = -np.inf
     assert max(tallest) <= 1000 and np.allclose(out.column("best").to_numpy(), near.max(axis=1)) and sys.getsizeof(out)
+
+
+def test_pages_come_in_bounded_batches(spark, tmp_path):
+    """html_paragraphs parses at most 1,024 pages or 4 MB at once, however many a partition has."""
+    from assayer import plans
+    from assayer.sources import html
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = [(i, f"<p>page {i}</p>") for i in range(3000)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    out = plans.queries()["html_paragraphs"](spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1024"
+    assert {r.page_id: r.n_chars for r in out.collect()} == {i: len(html.paragraphs_of(t)) for i, t in pages}
