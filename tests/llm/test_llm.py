@@ -330,6 +330,41 @@ def test_wand_in_one_shard(monkeypatch, block, first, step):
     assert skipped or block == 64
 
 
+@pytest.mark.parametrize("columns", [1, 5, 1024])
+def test_topk_tiles_agree_with_single_queries(monkeypatch, columns):
+    """Tiles find what single queries find, to the last bit, and read no posting of a language whose bound is too low."""
+    for name, value in (("GROUP", 40), ("DENSE", columns), ("POSTINGS", 50)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(columns)
+    texts = [" ".join(f"{'ab'[i % 2]}{min(60, int(rng.expovariate(0.06)))}" for _ in range(rng.randint(20, 60))) for i in range(300)]
+    texts += [texts[3], texts[4]] * 20 + [None, "", "a1", "other"]
+    index = topk.Index.load(topk.Index.build(list(range(len(texts))), texts), 40.0)
+    index.prepare()
+    assert len(index.groups) >= 2 and sorted(index.ids.tolist()) == list(range(len(texts)))
+    asked = [q for q in range(0, 300, 7)] + [300, 341, 342]
+    own = [np.sort(np.array([topk.key(x) for x in topk.terms(texts[q])], np.uint64)) for q in asked]
+    weight = [np.array([1 + int(x) % 7 / 3 for x in keys]) for keys in own]
+    number, place = np.repeat(np.arange(len(own)), [len(x) for x in own]), index.places(np.concatenate(own))
+    read, add = [], index._add
+    monkeypatch.setattr(index, "_add", lambda scores, cuts, row, w: read.extend(zip(row.tolist(), index.ids[index.docs[index.first[cuts]]].tolist(), strict=True)) or add(scores, cuts, row, w))
+    single = [index.search(keys, w, 5, 0.0) for keys, w in zip(own, weight, strict=True)]
+    for share in (0.0, 1.0):
+        read.clear()
+        least = np.array([share * (s[-1] if len(s) == 5 else 0.0) for _, s in single])
+        found = {q: (ids.tolist(), scores.tolist()) for q, ids, scores in index.search_tile(number[place >= 0], place[place >= 0], np.concatenate(weight)[place >= 0], 5, least)}
+        assert found == {q: (ids.tolist(), scores.tolist()) for q, (ids, scores) in enumerate(single) if len(ids)}
+        assert {(asked[q] - d) % 2 for q, d in read if asked[q] < 300 and d < 300} <= {0}
+
+
+def test_topk_rounds_grow_and_shared_ids(spark, monkeypatch):
+    assert [topk._level(s) for s in (0, 3, 4, 15, 16, 63, 64)] == [0, 0, 1, 1, 2, 2, 3]
+    rows = [(20, "a b"), (20, "a c"), (20, "a c"), (1, "c c"), (2, "a"), (3, "d")]
+    want = [tuple(r) for r in topk.search(frame(spark, rows), F.col("doc_id") == 20, 4).collect()]
+    assert [r[1] for r in sorted(want)] == [1, 2, 3, 4] and {r[2] for r in want} <= {20, 1, 2}
+    monkeypatch.setattr(topk, "SHARD_DOCS", 0.25)  # shards of a document
+    assert sorted(tuple(r) for r in topk.search(frame(spark, rows), F.col("doc_id") == 20, 4).collect()) == sorted(want)
+
+
 # --- repeated spans
 
 
