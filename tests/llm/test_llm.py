@@ -356,6 +356,46 @@ def test_topk_tiles_agree_with_single_queries(monkeypatch, columns):
         assert {(asked[q] - d) % 2 for q, d in read if asked[q] < 300 and d < 300} <= {0}
 
 
+def test_topk_tile_multiplies_only_where_a_document_can_reach(monkeypatch):
+    """Rare words of different documents reach a threshold together, but none alone: no matrix product, no full score, no cuts by block."""
+
+    class Watched:
+        def __init__(self, matrix):
+            self.matrix, self.shape, self.read = matrix, matrix.shape, 0
+
+        def __len__(self):
+            return len(self.matrix)
+
+        @property
+        def T(self):  # noqa: N802
+            self.read += 1
+            return self.matrix.T
+
+    monkeypatch.setattr(topk, "GROUP", 40)
+    texts = [f"own{i} a{i % 3} a{3 + i % 2} a5" for i in range(120)]
+    index = topk.Index.load(topk.Index.build(list(range(120)), texts), 4.0)
+    index.prepare()
+    index.matrices = [Watched(m) for m in index.matrices]
+    keys = np.sort(np.array([topk.key(f"own{i}") for i in range(10)], np.uint64))
+    place, weight = index.places(keys), np.arange(1.0, 11.0)
+    ask = lambda least: list(index.search_tile(np.zeros(10, np.int64), place, weight, 5, np.array([least])))
+    assert ask(20.0) == [] and sum(m.read for m in index.matrices) == 0
+    ((q, ids, scores),) = ask(6.5)
+    assert q == 0 and sum(m.read for m in index.matrices) and "cuts" not in vars(index)
+    want = [x.tolist() for x in index.search(keys, weight, 5, 6.5)]
+    assert [ids.tolist(), scores.tolist()] == want and len(ids) == 4
+
+
+@pytest.mark.parametrize("texts", [[None], ["", None, " ,"], ["b a b", None, "B_1 ß İ STRASSE straße \u0662 a\u0301", "x" * 5000 + " b", "b b b", "", "語 b"]])
+def test_topk_index_holds_each_word_of_each_text(texts):
+    index = topk.Index.load(topk.Index.build([7 + i for i in range(len(texts))], texts), 2.0)
+    want = {(topk.key(x), 7 + d, n) for d, t in enumerate(texts) for x, n in topk.terms(t).items()}
+    tf = np.frombuffer(index.arrays["tf"], "<i4")
+    got = [(k, i, n) for k, i, n in zip(np.repeat(index.keys, np.diff(index.offsets)).tolist(), index.ids[index.docs].tolist(), tf.tolist(), strict=True)]
+    assert len(got) == len(want) and set(got) == want and (np.diff(index.keys.astype(object)) > 0).all()
+    assert dict(zip(index.ids.tolist(), index.arrays["lens"].tolist(), strict=True)) == {7 + d: sum(topk.terms(t).values()) for d, t in enumerate(texts)}
+
+
 def test_topk_rounds_grow_and_shared_ids(spark, monkeypatch):
     assert [topk._level(s) for s in (0, 3, 4, 15, 16, 63, 64)] == [0, 0, 1, 1, 2, 2, 3]
     rows = [(20, "a b"), (20, "a c"), (20, "a c"), (1, "c c"), (2, "a"), (3, "d")]
