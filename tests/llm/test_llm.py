@@ -640,3 +640,22 @@ def test_pipeline_stages(spark, tmp_path):
     done = P.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in done) == Counter({1: 2, 4: 1, 5: 1, 6: 1, None: 1})
     assert all(len(r.ids) == r.n_tokens for r in done) and sum(r.n_tokens == 0 for r in done) == 1
+
+
+def test_topk_adds_tables_of_postings():
+    """Places and contributions lie side by side; cuts of all lengths, in any order, add up to what single postings do."""
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 30) if x < 500) for _ in range(300)]
+    index = topk.Index.load(topk.Index.build(list(range(300)), texts), 30.0)
+    index.prepare()
+    assert np.array_equal(index.postings >> 32, index.docs - np.repeat(index.groups, np.diff(np.append(index.groups, index.n)))[index.docs])
+    assert np.array_equal(index.postings.view("<f4")[::2], index.tf.astype(np.float32))
+    cuts, row, w = rng.integers(0, len(index.first), 400), rng.integers(0, 7, 400), rng.random(400, np.float32)
+    got, want = np.zeros((7, 300), np.float32), np.zeros((7, 300))
+    for c, r, x in zip(cuts, row, w, strict=True):
+        for p in range(index.first[c], index.first[c] + index.times[c]):
+            want[r, index.postings[p] >> 32] += x * index.tf[p]
+    index._add(got, cuts, row, w)
+    assert len(set(index.times[cuts])) > 5 and np.allclose(got, want, rtol=1e-5)
+    index._add(got, cuts[:0], row[:0], w[:0])
+    assert np.allclose(got, want, rtol=1e-5)
