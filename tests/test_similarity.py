@@ -137,3 +137,9 @@ def test_blocks_by_length(monkeypatch):
     monkeypatch.setattr(J, "NEAR_BYTES", 100)
     sizes = [{"n": n, "rows": rows, "bytes": n * rows} for n, rows in ((1, 4), (2, 6), (3, 1), (5, 25), (7, 1), (9, 10), (60, 1), (200, 1))]
     assert J._by_length(sizes) == [(1, 2, 0, 1), (3, 3, 0, 1), (5, 5, 0, 3), (5, 5, 1, 3), (5, 5, 2, 3), (7, 7, 0, 1), (9, 9, 0, 1), (60, 60, 0, 1), (200, 200, 0, 2), (200, 200, 1, 2)]
+
+
+def test_nothing_is_near_to_nothing(spark):
+    a, none = spark.createDataFrame([(1, "abc")], "id int, text string"), spark.createDataFrame([("",), (None,)], "held string")
+    near = J.near_duplicates(a, none, "text", "held")
+    assert near.columns == ["id", "text"] and near.count() == 0
